@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import groups, lookalikes
+from threadloom.llm import bpe, groups, knn, lookalikes, neardup, packing
+from threadloom.operators.comments import one_row_per_comment
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +32,37 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.consolidate(comps.select(F.col("node_id").alias("id")).union(edges.select("source")).union(edges.select("target")), edges.select("source", "target").union(stars))
 
 
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors = knn.usable(_table(spark, d, "canopy_artifacts"), "user_id", "embeddings", 64)
+    return knn.nearest(vectors, dim=64, k=5, floor=0.82)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _neighbours(spark, d)
+    return near.select(F.least("id", "neighbour").alias("user_id_a"), F.greatest("id", "neighbour").alias("user_id_b")).distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    comments = one_row_per_comment(_table(spark, d, "comments"), ["text"]).select(F.lit("comments").alias("collection"), F.col("cid").alias("record_id"), "text")
+    nodes = _table(spark, d, "graph_100_nodes").groupBy("id").agg(F.min("text_sample").alias("text")).select(F.lit("graph_100_nodes").alias("collection"), F.col("id").alias("record_id"), "text")
+    return neardup.near_duplicate_groups(comments.union(nodes), similarity=0.6, min_words=14)
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.token_ids(_table(spark, d, "documents"), "doc_id", "text")
+
+
+#: Tokens a container holds.
+CAPACITY = 4096
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = bpe.token_counts(_table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY).select("container_id", F.col("key").alias("doc_id"), "part", F.col("n").alias("n_tokens"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p4_found, p6_found, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
