@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, groups, knn, lookalikes, neardup, packing
+from threadloom.llm import bpe, groups, knn, lookalikes, neardup, packing, pii
 from threadloom.operators.comments import one_row_per_comment
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(comments.union(nodes), similarity=0.6, min_words=14)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.findings(_table(spark, d, "comments"), "pos", "text")
+    return found.select(F.col("key").alias("pos"), F.explode("kinds").alias("kind"))
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.with_placeholders(_table(spark, d, "comments"), "pos", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(_table(spark, d, "documents"), "doc_id", "text")
 
@@ -62,7 +71,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p4_found, p6_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p4_found, p6_found, p7_found, p7_redacted, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
