@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, groups, knn, lookalikes, neardup, packing, pii
+from threadloom.llm import bpe, groups, knn, lookalikes, neardup, packing, pii, readability
 from threadloom.operators.comments import one_row_per_comment
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,8 +70,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY).select("container_id", F.col("key").alias("doc_id"), "part", F.col("n").alias("n_tokens"))
 
 
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    documents = _table(spark, d, "documents").where("source is null or source <> 'raw_dump'")
+    prose = documents.where(F.regexp_count("text", F.lit(r"\S+")) >= 40)
+    return readability.reading_levels(prose.select("doc_id", "text"), _table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "level")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p4_found, p6_found, p7_found, p7_redacted, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p4_found, p6_found, p7_found, p7_redacted, p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
