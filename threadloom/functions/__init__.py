@@ -1 +1 @@
-
+"""Column expressions: text, URLs and bounded scores."""

@@ -81,8 +81,8 @@ def resolve(rows: DataFrame, node: str, parent: str, with_path: bool = False) ->
     return settled.unionByName(loops)
 
 
-def _cycles(never: DataFrame, stage: Stage) -> DataFrame:
-    """(id, root) of nodes whose chain never ends; root is the smallest id on the cycle."""
+def _onto_cycles(never: DataFrame, stage: Stage) -> DataFrame:
+    """(id, anc) where anc, some power-of-two steps up, lies on the cycle that the chain runs into."""
     jump = stage.put(never.select("id", F.col("up").alias("anc")))
     image = jump.select("anc").distinct().count()
     while True:
@@ -92,7 +92,18 @@ def _cycles(never: DataFrame, stage: Stage) -> DataFrame:
         jump, before = nxt, image
         image = jump.select("anc").distinct().count()
         if image == before:  # a jump maps these nodes onto each other: they are the cycles
-            break
+            return jump
+
+
+def cycle_nodes(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    """(id) of the nodes on cycles, among rows whose chains all run into one."""
+    stage = Stage(rows.sparkSession, "cycles")
+    return _onto_cycles(stage.put(_nodes(rows, node, parent)), stage).select(F.col("anc").alias("id")).distinct()
+
+
+def _cycles(never: DataFrame, stage: Stage) -> DataFrame:
+    """(id, root) of nodes whose chain never ends; root is the smallest id on the cycle."""
+    jump = _onto_cycles(never, stage)
     on = stage.put(jump.select(F.col("anc").alias("id")).distinct())
     low = stage.put(never.join(on, "id", "left_semi").select("id", F.col("up").alias("anc"), F.col("id").alias("low")))
     while True:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from threadloom.plans import general
+from threadloom.plans import general, reference
 
-FLAGSHIP = "p2_found"
-_MODULES = (general,)
+FLAGSHIP = "user_summary"
+_MODULES = (general, reference)
 
 
 def queries() -> dict:

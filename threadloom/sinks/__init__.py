@@ -1 +1 @@
-
+"""Where results go."""

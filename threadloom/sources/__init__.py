@@ -1 +1 @@
-
+"""Where comments come from."""
