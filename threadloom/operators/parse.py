@@ -15,8 +15,7 @@ _FALSY = ("null", '""', "0", "0.0", "false", "{}", "[]")
 
 def _member(variant: Column, key: str) -> Column:
     """JSON text of a member, null if it is missing or would count as false."""
-    text = F.to_json(F.variant_get(variant, f"$.{key}", "variant"))
-    return F.when(~text.isin(*_FALSY), text)
+    return _let(F.to_json(F.variant_get(variant, f"$.{key}", "variant")), lambda t: F.when(~t.isin(*_FALSY), t))
 
 
 def _scalar(json: Column) -> Column:
@@ -31,33 +30,45 @@ def _of_object(json: Column) -> Column:
     return F.coalesce(*[F.nullif(F.get_json_object(json, f"$.{k}"), F.lit("")) for k in ("cid", "id", "comment_id")])
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parent_of(raw: Column) -> Column:
     """The parent id that raw JSON names.
 
     The first key with a value that is not empty decides, even if that value is "0", which means
     none. An object stands for its cid, id or comment_id; a list for its first element.
     """
-    v = F.try_parse_json(raw)
-    value = F.coalesce(*[_member(v, k) for k in schema.PARENT_KEYS])
-    head = F.get_json_object(value, "$[0]")
-    first = F.when(value.startswith("["), F.when(head.startswith("{"), _of_object(head)).otherwise(head)).when(value.startswith("{"), _of_object(value)).otherwise(_scalar(value))
-    return _truthy(first)
+
+    def of_value(value: Column) -> Column:
+        head = F.get_json_object(value, "$[0]")
+        first = F.when(value.startswith("["), F.when(head.startswith("{"), _of_object(head)).otherwise(head)).when(value.startswith("{"), _of_object(value)).otherwise(_scalar(value))
+        return _let(first, _truthy)
+
+    return _let(_let(F.try_parse_json(raw), lambda v: F.coalesce(*[_member(v, k) for k in schema.PARENT_KEYS])), of_value)
 
 
 def fragments(text: Column, raw: Column) -> Column:
     """Distinct non-empty texts of a comment and of its author's profile, in order."""
-    v = F.try_parse_json(raw)
-    parts = [F.array(text)] + [json_leaves(_member(v, k)) for k in schema.TEXT_KEYS] + [json_leaves(_member(v, f"user.{k}")) for k in schema.PROFILE_KEYS]
-    trimmed = F.transform(F.concat(*parts), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+
+    def leaves(v: Column) -> Column:
+        return F.flatten(F.transform(F.array(*[_member(v, k) for k in (*schema.TEXT_KEYS, *[f"user.{k}" for k in schema.PROFILE_KEYS])]), json_leaves))
+
+    all_ = F.concat(F.array(text), F.coalesce(_let(F.try_parse_json(raw), leaves), F.array().cast("array<string>")))
+    trimmed = F.transform(all_, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     return F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != "")))
 
 
 def new_account_signal(raw: Column) -> Column:
     """1.0 if the account's labels speak of a new one, 0.0 if not, null without labels."""
-    v = F.try_parse_json(raw)
-    labels = F.concat(*[json_leaves(_member(v, f"user.{k}")) for k in schema.LABEL_KEYS])
-    new = F.lower(F.array_join(labels, " ")).rlike("new|baru|recent|fresh")
-    return F.when(F.size(labels) > 0, new.cast("double"))
+
+    def signal(v: Column) -> Column:
+        labels = F.flatten(F.transform(F.array(*[_member(v, f"user.{k}") for k in schema.LABEL_KEYS]), json_leaves))
+        return _let(labels, lambda x: F.when(F.size(x) > 0, F.lower(F.array_join(x, " ")).rlike("new|baru|recent|fresh").cast("double")))
+
+    return _let(F.try_parse_json(raw), signal)
 
 
 def records(comments: DataFrame) -> DataFrame:

@@ -51,12 +51,17 @@ select user_id, min(ts) session_start, max(ts) session_end, {extra} count(*) n_c
 """
 _P5 = """
 with recursive n as (select comment_id id, min(nullif(parent_id, '')) up from comment_records where comment_id is not null and comment_id <> '' group by 1),
-walk as (select id, coalesce(up, id) root, case when up is null then 0 else 1 end depth, [id] seen, up is not null going from n
+walk as (select id, id cur, [id] seen, 'go' state from n
          union all
-         select w.id, coalesce(n.up, w.root), w.depth + case when n.up is null then 0 else 1 end, list_append(w.seen, w.root), n.up is not null and not list_contains(w.seen, w.root)
-         from walk w join n on n.id = w.root where w.going)
+         select w.id, coalesce(n.up, w.cur), case when n.up is null then w.seen else list_append(w.seen, n.up) end,
+                case when n.id is null or n.up is null then 'end' when list_contains(w.seen, n.up) then 'loop' else 'go' end
+         from walk w left join n on n.id = w.cur where w.state = 'go'),
+full_ as (select id, case when state = 'loop' then list_min(seen[list_position(seen, cur):]) else cur end root, case when state = 'loop' then -1 else len(seen) - 1 end depth, case when state = 'end' then list_reverse(seen) end path from walk where state <> 'go'),
 """
 ORACLE = {
     "p2_found": _P2.format(extra=""),
     "p2_sessions": _P2.format(extra="max(ts) - min(ts) duration,"),
+    "p5_found": _P5 + "z as (select 1) select id comment_id, root root_id, depth from full_",
+    "p5_descendants": _P5 + "z as (select id, unnest(path) anc, unnest(range(len(path))) at_, len(path) m from full_) select anc ancestor_id, id descendant_id, m - 1 - at_ distance from z where at_ < m - 1",
+    "p5_hierarchy": _P5 + "z as (select anc, count(*) k from (select unnest(path[:-2]) anc from full_ where path is not null) group by 1) select id comment_id, array_to_string(path, '>') path, depth, root root_id, case when depth >= 0 then coalesce(k, 0) end n_descendants from full_ left join z on z.anc = id",
 }

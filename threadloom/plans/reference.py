@@ -72,8 +72,8 @@ walk as (select comment_id id, comment_id cur, [comment_id] seen, false done fro
          from walk w left join look l on l.comment_id = w.cur where not w.done),
 roots as (select id, cur root, len(seen) - 2 depth from walk where done)"""
 _MEMBERS = """
-at as (select r.user_id, r.parent_id, coalesce(o.root, coalesce(r.parent_id, r.comment_id)) root from rec r left join roots o on o.id = coalesce(r.parent_id, r.comment_id) where coalesce(r.parent_id, r.comment_id) is not null),
-members as (select root, user_id from at union select a.root, l.user_id from at a join look l on a.parent_id = l.comment_id),
+att as (select r.user_id, r.parent_id, coalesce(o.root, coalesce(r.parent_id, r.comment_id)) root from rec r left join roots o on o.id = coalesce(r.parent_id, r.comment_id) where coalesce(r.parent_id, r.comment_id) is not null),
+members as (select root, user_id from att union select a.root, l.user_id from att a join look l on a.parent_id = l.comment_id),
 shared as (select * from members where root in (select root from members group by 1 having count(*) >= 2)),
 thread_e as (select a.user_id src, b.user_id dst, count(*)::double w from members a join members b on a.root = b.root and a.user_id < b.user_id group by 1, 2)"""
 
@@ -326,9 +326,9 @@ def content_knn_edges(spark, d):
 
 
 @query(f"""with {_DOC_TEXT}, {_tfidf_sql('src_t')}, m as (select doc_id::varchar doc, coalesce(source, 'none') cluster_id from documents),
-at as (select cluster_id, doc, term, w from weights join m using (doc)),
-own as (select cluster_id, sum(w * w) o, count(distinct doc) n from at group by 1),
-wh as (select cluster_id, sum(s * s) q from (select cluster_id, term, sum(w) s from at group by 1, 2) group by 1)
+att as (select cluster_id, doc, term, w from weights join m using (doc)),
+own as (select cluster_id, sum(w * w) o, count(distinct doc) n from att group by 1),
+wh as (select cluster_id, sum(s * s) q from (select cluster_id, term, sum(w) s from att group by 1, 2) group by 1)
 select cluster_id, n n_text, round(case when n >= 2 then {_CLAMP.format("(q - o) / (n * (n - 1.0))")} else 0 end, 6) similarity from own join wh using (cluster_id)""")
 def cluster_content_repetition(spark, d):
     m = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("user_id"), F.coalesce("source", F.lit("none")).alias("cluster_id"))
@@ -462,7 +462,7 @@ def isolated_nodes(spark, d):
     return metrics.isolated(_nodes(spark, d), _edges(spark, d))
 
 
-@query(f"with {_EDGE} select unnest([0.5, 0.8, 0.9]) q, round(unnest([quantile_cont(w, 0.5), quantile_cont(w, 0.8), quantile_cont(w, 0.9)]), 6) value from e")
+@query(f"with {_EDGE} select unnest([0.5, 0.8, 0.9]::double[]) q, round(unnest([quantile_cont(w, 0.5), quantile_cont(w, 0.8), quantile_cont(w, 0.9)]), 6) value from e")
 def edge_quantiles(spark, d):
     qs = [0.5, 0.8, 0.9]
     values = ranking.quantiles(_edges(spark, d), "w", qs, _stage(spark))
