@@ -84,5 +84,33 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p4_found, p6_found, p7_found, p7_redacted, p8_ids, p9_containers, p10_found)}
 
 
+_P3 = """
+with u as (select user_id id, min(embeddings::double[]) v from canopy_artifacts
+           where user_id is not null and len(embeddings) = 64 and list_bool_and(list_transform(embeddings, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embeddings, lambda x: x <> 0)) group by 1),
+e as (select id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) v from u),
+s as (select a.id a, b.id b, list_inner_product(a.v, b.v) c from e a join e b on a.id <> b.id),
+t as (select * from s where c >= 0.82 qualify row_number() over (partition by a order by c desc, b) <= 5)
+select distinct least(a, b) user_id_a, greatest(a, b) user_id_b from t
+"""
+_REACH = "reach as (select id, id lab from n union select l.b, r.lab from reach r join sym l on l.a = r.id)"
+_P4 = f"""
+with recursive star as (select node_id, min(node_id) over (partition by component_id) low from graph_1000_components where component_id is not null and node_id is not null),
+l as (select source a, target b from edges where source is not null and target is not null union select node_id, low from star),
+sym as (select a, b from l union select b, a from l),
+n as (select distinct id from (select source id from edges union all select target from edges union all select node_id from graph_1000_components) where id is not null), {_REACH}
+select id node_id, min(lab) group_id from reach group by 1
+"""
+_P6 = f"""
+with recursive c as (select coalesce(nullif(comment_id, ''), nullif(json_extract_string(raw, '$.cid'), '')) cid, text from comments qualify row_number() over (partition by cid order by pos) = 1),
+r as (select 'comments' col, cid rid, text from c where cid is not null union all select 'graph_100_nodes', id, min(text_sample) from graph_100_nodes where id is not null group by 2),
+w as (select col, rid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) w from r where text is not null),
+x as (select col, rid, len(w) n, unnest(w) t from w where len(w) >= 14),
+p as (select a.col, a.rid ra, b.rid rb from x a join x b on a.col = b.col and a.t = b.t and a.rid < b.rid group by 1, 2, 3, a.n, b.n having count(*) >= 0.6 * (a.n + b.n - count(*)) - 1e-9),
+sym as (select col || '|' || ra a, col || '|' || rb b from p union select col || '|' || rb, col || '|' || ra from p),
+n as (select distinct a id from sym), {_REACH}
+select split_part(id, '|', 1) collection, split_part(id, '|', 2) record_id, split_part(min(lab), '|', 2) group_id from reach group by id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": _P3, "p4_found": _P4, "p6_found": _P6}
