@@ -192,8 +192,8 @@ def with_canonical(rows: DataFrame, columns: list[str]) -> DataFrame:
         values = one if values is None else values.union(one)
     forms = canonical_forms(values, stage)
     for c in columns:
-        f = forms.select(F.col("value").alias(f"_v_{c}"), F.col("canon").alias(f"_c_{c}"))
-        rows = rows.join(f, F.col(c) == F.col(f"_v_{c}"), "left").withColumn(c, F.coalesce(f"_c_{c}", c)).drop(f"_v_{c}", f"_c_{c}")
+        f = forms.select(F.col("value").alias(f"__value_{c}"), F.col("canon").alias(f"__canon_{c}"))
+        rows = rows.join(f, F.col(c) == F.col(f"__value_{c}"), "left").withColumn(c, F.coalesce(f"__canon_{c}", c)).drop(f"__value_{c}", f"__canon_{c}")
     return rows
 
 

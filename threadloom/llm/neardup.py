@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.components import min_labels
@@ -36,13 +36,16 @@ BLOCK = 4096
 LEAF = 8
 FAN = 8
 WORDS64 = 2  # fingerprint length in 64-bit words
+#: Sets of more words travel as a wide fingerprint, not as their words, and are compared in full at the end.
+LONG = 512
+WIDE64 = 64
 
 
-def fingerprints(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(rows, WORDS64) bitmaps; row i has the hashes from ends[i] to ends[i + 1]."""
+def fingerprints(hashes: np.ndarray, ends: np.ndarray, words: int = WORDS64) -> np.ndarray:
+    """(rows, words) bitmaps; row i has the hashes from ends[i] to ends[i + 1]."""
     rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    bit = hashes.astype(np.uint64) & np.uint64(64 * WORDS64 - 1)
-    out = np.zeros((len(ends) - 1, WORDS64), np.uint64)
+    bit = hashes.astype(np.uint64) & np.uint64(64 * words - 1)
+    out = np.zeros((len(ends) - 1, words), np.uint64)
     np.bitwise_or.at(out, (rows, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
@@ -139,8 +142,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _patterns(counts, similarity: float):
-    """For rows (nid, coll, n, hs): a row for each masked pattern the set is filed under."""
+def _patterns(counts, similarity: float, wide: bool = False):
+    """For rows (nid, coll, n, hs): a row for each masked pattern the set is filed under.
+
+    With ``wide`` the row has the set's fingerprint in place of its words, and frequent words are not
+    extended, as a long set has too many of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
@@ -153,6 +160,8 @@ def _patterns(counts, similarity: float):
             ends = ends - ends[0]
             n = np.asarray(batch.column(2), dtype=np.int64)
             row = np.repeat(np.arange(len(n)), np.diff(ends))
+            frequent = np.iinfo(np.int64).max if wide else FREQUENT
+            body = pa.array([x.tobytes() for x in fingerprints(flat, ends, WIDE64)], pa.binary()) if wide else hs
             often = table[flat & (COUNT_CELLS - 1)]
             order = np.lexsort((flat, often, row))
             flat, often = flat[order].astype(np.uint64), often[order]
@@ -161,9 +170,9 @@ def _patterns(counts, similarity: float):
             reach = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
             key = _mixed(flat) ^ _mixed(np.asarray(batch.column(1)).astype(np.uint64) + np.uint64(7))[row]
             first = (at < reach[row]) & (often > 1)
-            files = [(row[plain := first & (often <= FREQUENT)], key[plain])]
+            files = [(row[plain := first & (often <= frequent)], key[plain])]
             # a frequent word, with each later one among the next places
-            level, i = 2, np.flatnonzero(first & (often > FREQUENT))
+            level, i = 2, np.flatnonzero(first & (often > frequent))
             made, deep = key[i], often[i]
             while len(i):
                 room = np.maximum(np.minimum(reach[row[i]] + level - 1, ends[row[i] + 1] - ends[row[i]]) - at[i] - 1, 0)
@@ -176,7 +185,7 @@ def _patterns(counts, similarity: float):
             keys = np.concatenate([k for _, k in files]).view(np.int64)
             for a in range(0, len(rows), 50_000):
                 take = pa.array(rows[a : a + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000]), batch.column(0).take(take), batch.column(2).take(take), hs.take(take)], names=["sig", "nid", "n", "hs"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000]), batch.column(0).take(take), batch.column(2).take(take), body.take(take)], names=["sig", "nid", "n", "hs"])
 
     return run
 
@@ -215,23 +224,64 @@ def _blocks(similarity: float):
     return run
 
 
+def _wide_blocks(similarity: float):
+    """For rows (sig, nid, n, hs) sorted by sig, hs a wide fingerprint: pairs (a, b) of a block that may match."""
+
+    def pairs(table: pa.Table, starts) -> pa.RecordBatch:
+        nid, n = table.column(1).to_numpy(), table.column(2).to_numpy().astype(np.int64)
+        prints = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(-1, WIDE64)
+        found = []
+        for a, b in zip(starts[:-1], starts[1:]):
+            if b - a > 1:
+                order = gray_order(prints[a:b]) + a
+                left, right = GrayIndex(prints[order], n[order]).search(similarity)
+                found += zip(nid[order[left]].tolist(), nid[order[right]].tolist())
+        return _edges([(min(p), max(p)) for p in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                sig = held.column(0).to_numpy()
+                starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+                if len(starts) > 1:
+                    yield pairs(held, starts)
+                    held = held.slice(int(starts[-1]))
+        if held is not None:
+            yield pairs(held, [0, held.num_rows])
+
+    return run
+
+
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
-def near_duplicate_groups(records: DataFrame, similarity: float = 0.8, min_words: int = 1, words=None) -> DataFrame:
+def distinct_words(text: Column) -> Column:
+    """The distinct runs of ``[a-z0-9_]`` in the lower-cased text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def shingles(text: Column, k: int = 5) -> Column:
+    """The distinct runs of k words; a shorter text is one shingle."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - k + 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
+    return F.array_distinct(F.filter(runs, lambda s: s != ""))
+
+
+def near_duplicate_groups(records: DataFrame, similarity: float = 0.8, min_words: int = 1, words=shingles) -> DataFrame:
     """(collection, record_id, group_id) of each record in a group of two or more.
 
-    ``records(collection, record_id, text)`` has one row per record. Words are the distinct runs of
-    ``[a-z0-9_]`` in the lower-cased text, or what ``words`` (text column to array of strings) makes
-    of it; texts of fewer than ``min_words`` words, null and empty ones included, match nothing. Two records of a
+    ``records(collection, record_id, text)`` has one row per record. ``words`` makes the text's set (text
+    column to array of distinct strings): five-word shingles, or ``distinct_words``. Sets of fewer than ``min_words``,
+    those of null and empty texts included, match nothing. Two records of a
     collection match if the words of both divided by the words of either reach ``similarity``; a
     group is what matches link directly or through others and is named by its smallest record_id.
     Records with equal word sets are one vertex until the end. Words are compared by a 32-bit hash.
     """
     stage = Stage(records.sparkSession, "neardup")
     spark = records.sparkSession
-    words = words or (lambda text: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))))
     sets = (
         records.where("record_id is not null")
         .select(F.col("collection").cast("string").alias("collection"), F.col("record_id").cast("string").alias("record_id"), words(F.col("text")).alias("w"))
@@ -248,9 +298,17 @@ def near_duplicate_groups(records: DataFrame, similarity: float = 0.8, min_words
         table[r.cell] = r.c
     counts = spark.sparkContext.broadcast(table)
     shape = own.select("nid", F.xxhash64("collection").alias("coll"), "n", "hs")
-    filed = shape.mapInArrow(_patterns(counts, similarity), "sig bigint, nid bigint, n int, hs array<int>")
+    filed = shape.where(F.col("n") <= LONG).mapInArrow(_patterns(counts, similarity), "sig bigint, nid bigint, n int, hs array<int>")
     blocks = _bounded(filed, stage)
     found = blocks.repartition("sig").sortWithinPartitions("sig").mapInArrow(_blocks(similarity), "a bigint, b bigint")
+    # a long set and any it can match are both in here
+    long_ = shape.where(F.col("n") >= similarity * LONG)
+    if own.where(F.col("n") > LONG).limit(1).count():
+        filed = long_.mapInArrow(_patterns(counts, similarity, True), "sig bigint, nid bigint, n int, hs binary")
+        maybe = _bounded(filed, stage).repartition("sig").sortWithinPartitions("sig").mapInArrow(_wide_blocks(similarity), "a bigint, b bigint").distinct()
+        a, b = own.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha")), own.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb"))
+        both = F.size(F.array_intersect("ha", "hb"))
+        found = found.union(maybe.join(a, "a").join(b, "b").where(both >= similarity * (F.col("na") + F.col("nb") - both) - 1e-9).select("a", "b"))
     pairs = stage.put(found.distinct())
     vertex = own.select("nid", F.concat_ws("|", "collection", "rep").alias("v"))
     named = (

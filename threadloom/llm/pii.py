@@ -225,5 +225,6 @@ def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def with_placeholders(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text) of every row, personal information replaced; ``key`` must be unique. Nulls stay null."""
-    made = findings(rows, key, text).select("key", F.col("text").alias("_made"))
-    return rows.join(made, F.col(key) == F.col("key"), "left").select(F.col(key), F.coalesce("_made", text).alias(text))
+    made = findings(rows, key, text).select("key", F.col("text").alias("made"))
+    plain = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return plain.join(made, F.col("k") == F.col("key"), "left").select(F.col("k").alias(key), F.coalesce("made", "t").alias(text))

@@ -45,7 +45,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     comments = one_row_per_comment(_table(spark, d, "comments"), ["text"]).select(F.lit("comments").alias("collection"), F.col("cid").alias("record_id"), "text")
     nodes = _table(spark, d, "graph_100_nodes").groupBy("id").agg(F.min("text_sample").alias("text")).select(F.lit("graph_100_nodes").alias("collection"), F.col("id").alias("record_id"), "text")
-    return neardup.near_duplicate_groups(comments.union(nodes), similarity=0.6, min_words=14)
+    return neardup.near_duplicate_groups(comments.union(nodes), similarity=0.6, min_words=14, words=neardup.distinct_words)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
