@@ -107,7 +107,9 @@ def test_hierarchy_empty(spark):
     assert hierarchy.hierarchy(df, "comment_id", "parent_id").count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [200_000, 0, 30])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     rng = random.Random(9)
     ids = [f"{i:03d}" for i in range(200)]
     links = [(rng.choice(ids), rng.choice(ids)) for _ in range(120)] + [(ids[i], ids[i + 1]) for i in range(150, 199)]

@@ -4,10 +4,12 @@ A round lets every vertex point to its smallest neighbour (or itself), follows t
 their ends by doubling, and contracts the edges to those ends. Ends only ever decrease, so a
 component ends up labelled by its smallest vertex. The number of vertices left falls by a large
 factor each round whatever the diameter; plain propagation would need a round per step of it.
+Once few edges are left, they are finished in one task.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,26 +22,55 @@ def undirected(edges: DataFrame, source: str = "source", target: str = "target")
     return edges.where(s.isNotNull() & t.isNotNull() & (s != t)).select(F.least(s, t).alias("a"), F.greatest(s, t).alias("b")).distinct()
 
 
-def min_labels(pairs: DataFrame, stage: Stage) -> DataFrame:
-    """(id, label) of every vertex of ``pairs(a, b)``; label is the smallest id of its component."""
-    edges = stage.put(pairs.select("a", "b"))
+#: Edges that one task may finish.
+AT_ONCE = 200_000
+
+
+def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(pdf["a"], pdf["b"]):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return pd.DataFrame({"v": list(root), "to": [find(x) for x in list(root)]})
+
+
+def min_labels(pairs: DataFrame, stage: Stage, at_once: int | None = None) -> DataFrame:
+    """(id, label) of every vertex of ``pairs(a, b)``; label is the smallest id of its component.
+
+    With ``at_once`` 0 the rounds go on to the end.
+    """
+    at_once = AT_ONCE if at_once is None else at_once
+    size = F.count(F.lit(1))
+    edges = stage.put(pairs.select("a", "b"), rows=size)
+    left = stage.seen["rows"]
     labels = stage.put(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("label", F.col("id")))
-    while edges.limit(1).count():
+    while left:
+        if left <= at_once:
+            ends = edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_ends, "v string, to string")
+            return stage.put(labels.join(ends, F.col("label") == F.col("v"), "left").select("id", F.coalesce("to", "label").alias("label")))
         both = edges.union(edges.select(F.col("b"), F.col("a")))
         hook = stage.put(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("low")).select("v", F.least("v", "low").alias("to")))
         while True:
             q = hook.select(F.col("v").alias("q"), F.col("to").alias("q_to"))
-            step = stage.put(hook.join(q, F.col("to") == F.col("q")).select("v", F.col("q_to").alias("to"), (F.col("q_to") != F.col("to")).alias("moved")))
-            moved = step.where("moved").limit(1).count()
+            step = hook.join(q, F.col("to") == F.col("q")).select("v", F.col("q_to").alias("to"), (F.col("q_to") != F.col("to")).alias("moved"))
+            step = stage.put(step, moved=F.count(F.when(F.col("moved"), 1)))
             stage.drop(hook)
             hook = step
-            if not moved:
+            if not stage.seen["moved"]:
                 break
         ends = hook.select("v", "to")
         joined = (
             edges.join(ends, F.col("a") == F.col("v")).select(F.col("to").alias("a"), "b").join(ends, F.col("b") == F.col("v")).select("a", F.col("to").alias("b"))
         )
-        smaller = stage.put(joined.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        smaller = stage.put(joined.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows=size)
+        left = stage.seen["rows"]
         relabelled = stage.put(labels.join(ends, F.col("label") == F.col("v"), "left").select("id", F.coalesce("to", "label").alias("label")))
         for old in (edges, labels, hook):
             stage.drop(old)

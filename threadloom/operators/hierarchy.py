@@ -51,34 +51,52 @@ def resolve(rows: DataFrame, node: str, parent: str, with_path: bool = False) ->
     is none; an empty table gives no rows.
     """
     stage = Stage(rows.sparkSession, "hierarchy")
+    settled, never = _settle(_nodes(rows, node, parent), stage, with_path)
+    if never is None:
+        return settled
+    loops = _cycles(never, stage).select(
+        "id", "root", F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("cyclic"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else [])
+    )
+    return settled.unionByName(loops)
+
+
+def _settle(nodes: DataFrame, stage: Stage, with_path: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Resolved rows (id, root, depth, cyclic[, path]) of nodes(id, up), and the nodes (id, up) whose chain never ends, null if none."""
     cols = ["id", "anc", "dist", "done"] + (["path"] if with_path else [])
-    start = _nodes(rows, node, parent).select(
+    nodes = stage.put(nodes.select("id", "up"))
+    start = nodes.select(
         "id",
         F.coalesce("up", "id").alias("anc"),
         F.col("up").isNotNull().cast("long").alias("dist"),
         F.col("up").isNull().alias("done"),
         *([F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array("up")).alias("path")] if with_path else []),
     )
-    state = stage.put(start)
-    left = state.where("not done").count()
+    still = F.count(F.when(~F.col("done"), 1))
+    state = stage.put(start, left=still)
+    left = stage.seen["left"]
     while left:
         moved = _doubled(state.where("not done"), state, with_path)
-        after = stage.put(state.where("done").select(cols).unionByName(moved.select(cols)))
+        after = stage.put(state.where("done").select(cols).unionByName(moved.select(cols)), left=still)
         stage.drop(state)
         state, before = after, left
-        left = state.where("not done").count()
+        left = stage.seen["left"]
         if left == before:
             break
     settled = state.where("done").select(
         "id", F.col("anc").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("cyclic"), *([F.reverse(F.concat(F.array("id"), "path")).alias("path")] if with_path else [])
     )
-    if not left:
-        return settled
-    never = stage.put(_nodes(rows, node, parent).join(state.where("not done").select("id"), "id", "left_semi"))
-    loops = _cycles(never, stage).select(
-        "id", "root", F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("cyclic"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else [])
-    )
-    return settled.unionByName(loops)
+    return settled, stage.put(nodes.join(state.where("not done").select("id"), "id", "left_semi")) if left else None
+
+
+def entered_roots(nodes: DataFrame) -> DataFrame:
+    """(id, root, depth) of nodes(id, up). A node on a cycle is its own root, and a chain into a cycle ends where it enters."""
+    stage = Stage(nodes.sparkSession, "roots")
+    settled, never = _settle(nodes, stage)
+    if never is None:
+        return settled.select("id", "root", "depth")
+    on = stage.put(_onto_cycles(never, stage).select(F.col("anc").alias("on_id")).distinct())
+    cut = never.join(on, F.col("id") == F.col("on_id"), "left").select("id", F.when(F.col("on_id").isNull(), F.col("up")).alias("up"))
+    return settled.select("id", "root", "depth").union(_settle(cut, stage)[0].select("id", "root", "depth"))
 
 
 def _onto_cycles(never: DataFrame, stage: Stage) -> DataFrame:
@@ -95,12 +113,6 @@ def _onto_cycles(never: DataFrame, stage: Stage) -> DataFrame:
             return jump
 
 
-def cycle_nodes(rows: DataFrame, node: str, parent: str) -> DataFrame:
-    """(id) of the nodes on cycles, among rows whose chains all run into one."""
-    stage = Stage(rows.sparkSession, "cycles")
-    return _onto_cycles(stage.put(_nodes(rows, node, parent)), stage).select(F.col("anc").alias("id")).distinct()
-
-
 def _cycles(never: DataFrame, stage: Stage) -> DataFrame:
     """(id, root) of nodes whose chain never ends; root is the smallest id on the cycle."""
     jump = _onto_cycles(never, stage)
@@ -108,12 +120,9 @@ def _cycles(never: DataFrame, stage: Stage) -> DataFrame:
     low = stage.put(never.join(on, "id", "left_semi").select("id", F.col("up").alias("anc"), F.col("id").alias("low")))
     while True:
         q = low.select(F.col("id").alias("q_id"), F.col("anc").alias("q_anc"), F.col("low").alias("q_low"))
-        nxt = stage.put(
-            low.join(q, F.col("anc") == F.col("q_id")).select("id", F.col("q_anc").alias("anc"), F.least("low", "q_low").alias("low"), (F.col("q_low") < F.col("low")).alias("fell"))
-        )
-        fell = nxt.where("fell").limit(1).count()
-        low = nxt.drop("fell")
-        if not fell:
+        nxt = low.join(q, F.col("anc") == F.col("q_id")).select("id", F.col("q_anc").alias("anc"), F.least("low", "q_low").alias("low"), (F.col("q_low") < F.col("low")).alias("fell"))
+        low = stage.put(nxt, fell=F.count(F.when(F.col("fell"), 1)))
+        if not stage.seen["fell"]:
             break
     lows = low.select(F.col("id").alias("on_id"), F.col("low").alias("root"))
     return jump.join(lows, F.col("anc") == F.col("on_id")).select("id", "root")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from threadloom import schema
 from threadloom.functions.text import json_leaves, mentions
 from threadloom.operators import hierarchy
-from threadloom.runtime import Stage
 
 _FALSY = ("null", '""', "0", "0.0", "false", "{}", "[]")
 
@@ -127,15 +126,7 @@ def reply_edges(recs: DataFrame) -> DataFrame:
 
 def thread_roots(lookup: DataFrame) -> DataFrame:
     """(id, root, depth) of each comment. On a cycle a comment is its own root; a chain into one ends where it enters."""
-    nodes = lookup.select(F.col("comment_id").alias("id"), F.when(F.col("parent_id") != F.col("comment_id"), F.col("parent_id")).alias("up"))
-    stage = Stage(lookup.sparkSession, "threads")
-    nodes = stage.put(nodes)
-    first = stage.put(hierarchy.resolve(nodes, "id", "up"))
-    if not first.where("cyclic").limit(1).count():
-        return first.select("id", "root", "depth")
-    on = hierarchy.cycle_nodes(nodes.join(first.where("cyclic").select("id"), "id", "left_semi"), "id", "up").select(F.col("id").alias("on_id"))
-    cut = nodes.join(on, F.col("id") == F.col("on_id"), "left").select("id", F.when(F.col("on_id").isNull(), F.col("up")).alias("up"))
-    return hierarchy.resolve(cut, "id", "up").select("id", "root", "depth")
+    return hierarchy.entered_roots(lookup.select(F.col("comment_id").alias("id"), F.when(F.col("parent_id") != F.col("comment_id"), F.col("parent_id")).alias("up")))
 
 
 def thread_members(recs: DataFrame) -> DataFrame:

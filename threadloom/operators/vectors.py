@@ -38,6 +38,8 @@ def reduce(rows: DataFrame, features: int, target: int = DIM, rounds: int = 3, s
     spark = rows.sparkSession
     rows = stage.put(rows.select("id", "idx", "val"))
     n = rows.count()
+    # each part gives a matrix, so parts are few
+    rows = stage.put(rows.repartition(max(1, math.ceil(n / BLOCK_ROWS))))
     dim = features if features <= target else min(target, features - 1, n - 1 if n > 1 else target)
     if features <= target or dim < 2:
         return _projected(rows, np.eye(features), spark)

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -58,13 +58,20 @@ class Stage:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self._n = 0
+        self.seen: dict = {}
         self._paths: dict[int, str] = {}
         atexit.register(self._delete, self.base)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, **observed: Column) -> DataFrame:
+        """``df`` as a table. Named aggregates are taken while it is written and left in ``self.seen``."""
         path = f"{self.base}/{self._n}"
         self._n += 1
-        df.write.parquet(path)
+        if observed:
+            watch = Observation()
+            df.observe(watch, *[c.alias(k) for k, c in observed.items()]).write.parquet(path)
+            self.seen = watch.get
+        else:
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
