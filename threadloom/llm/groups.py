@@ -61,7 +61,7 @@ def consolidate(ids: DataFrame, links: DataFrame, levels: int = 12) -> DataFrame
                 .join(at, F.col("b") == F.col("r"), "left").select("a", F.when(F.col("r").isNotNull(), F.lit(low)).otherwise(F.col("b")).alias("b"))
             )
             rest = swap.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    labels = min_labels(rest, stage)
+    labels = min_labels(rest, stage, at_once=0)
     if giant is not None:
         # the contracted vertex may itself have got a smaller label
         of_low = labels.where(F.col("id") == F.lit(low)).select(F.col("label").alias("lower"))
