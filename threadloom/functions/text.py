@@ -101,8 +101,8 @@ def tokens(text: Column) -> Column:
 
 def normalized_tokens(text: Column, english: str | None = None) -> Column:
     """Lemmas of at least two characters that are no stop words; stop words are tested after stemming."""
-    stops = F.array(*[F.lit(w) for w in stop_words(english)])
-    return F.filter(F.transform(tokens(text), lemma), lambda t: t.isin(*PRESERVED) | ((F.length(t) >= 2) & ~F.array_contains(stops, t)))
+    stops = stop_words(english)  # a literal list becomes a hash set
+    return F.filter(F.transform(tokens(text), lemma), lambda t: t.isin(*PRESERVED) | ((F.length(t) >= 2) & ~t.isin(*stops)))
 
 
 def normalized(text: Column) -> Column:

@@ -108,7 +108,7 @@ def _weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def unigram_weights(rows: DataFrame) -> DataFrame:
     """(doc, term, w) of all single tokens, without floor or limit."""
-    counts = term_counts(rows, 1)
+    counts = Stage(rows.sparkSession, "tfidf").put(term_counts(rows, 1))
     n = counts.select("doc").distinct().count()
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = counts.join(df, "term").select("doc", "term", (F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("w"))

@@ -61,14 +61,22 @@ def reduce(rows: DataFrame, features: int, target: int = DIM, rounds: int = 3, s
         return parts.treeReduce(lambda a, b: a + b)
 
     width = min(dim + 10, features)
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, width)))[0]
+    q = _orthonormal(np.random.default_rng(seed).standard_normal((features, width)))
     for _ in range(rounds):
-        q = np.linalg.qr(gram(q))[0]
+        q = _orthonormal(gram(q))
     small = q.T @ gram(q)
     _, v = np.linalg.eigh((small + small.T) / 2)
     return _projected(rows, q @ v[:, ::-1][:, :dim], spark)
 
 
+def _orthonormal(z: np.ndarray) -> np.ndarray:
+    """Orthonormal columns of the same span, by way of the small Gram matrix; twice, for accuracy. Directions lost to rounding become zero."""
+    for _ in range(2):
+        w, v = np.linalg.eigh(z.T @ z)
+        z = z @ (v / np.sqrt(np.where(w > w[-1] * 1e-14, w, np.inf)))
+    return z
+
+
 def _projected(rows: DataFrame, m: np.ndarray, spark) -> DataFrame:
     shared = spark.sparkContext.broadcast(m)
 

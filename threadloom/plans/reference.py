@@ -264,9 +264,9 @@ def normalized_tokens(spark, d):
 
 def _simple_rows(df: DataFrame, key: str, col: str) -> DataFrame:
     """Rows for TF-IDF by plain tokens, which SQL can make as well."""
-    stops = F.array(*[F.lit(w) for w in text.stop_words()])
+    stops = text.stop_words()
     toks = F.transform(F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9_]+"), F.lit(0)), text.lemma)
-    rows = df.select(F.col(key).cast("string").alias("doc"), F.filter(toks, lambda t: (F.length(t) >= 2) & ~F.array_contains(stops, t)).alias("toks"))
+    rows = df.select(F.col(key).cast("string").alias("doc"), F.filter(toks, lambda t: (F.length(t) >= 2) & ~t.isin(*stops)).alias("toks"))
     return rows.where(F.size("toks") > 0)
 
 
