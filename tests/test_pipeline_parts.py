@@ -273,7 +273,7 @@ def brute_mst(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("at_once,seed", [(200_000, 1), (0, 2), (10, 3)])
+@pytest.mark.parametrize("at_once,seed", [(200_000, 1), (0, 2), (3, 3)])
 def test_mst_clusters(spark, monkeypatch, at_once, seed):
     monkeypatch.setattr(mst, "AT_ONCE", at_once)
     rng = random.Random(seed)

@@ -10,9 +10,10 @@ Once few edges are left, they are finished in one task.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.ranking import global_rank
 from threadloom.runtime import Stage
 
 
@@ -90,10 +91,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def numbered(labels: DataFrame) -> DataFrame:
-    """(component_id, component_size, id): components numbered from 0 by falling size, then smallest member.
-
-    Only the component sizes, not the members, pass through the one ordering task.
-    """
+    """(component_id, component_size, id): components numbered from 0 by falling size, then smallest member."""
+    stage = Stage(labels.sparkSession, "numbered")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("component_size"))
-    rank = F.row_number().over(Window.orderBy(F.desc("component_size"), "label")) - 1
-    return labels.join(sizes.withColumn("component_id", rank.cast("long")), "label").select("component_id", "component_size", "id")
+    ranked = global_rank(sizes, [F.desc("component_size"), F.col("label")], stage, "component_id")
+    return labels.join(ranked, "label").select(F.col("component_id").cast("long").alias("component_id"), "component_size", "id")

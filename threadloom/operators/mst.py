@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.components import connected_components, min_labels
+from threadloom.operators.ranking import at_ranks
 from threadloom.runtime import Stage
 
 #: Edges that one task may finish.
@@ -57,13 +58,21 @@ def forest(edges: DataFrame) -> DataFrame:
 def median_cuts(tree: DataFrame, components: DataFrame) -> DataFrame:
     """(label, threshold, tree_edges): upper median of the forest's weights in each component.
 
-    The weights are ranked by distinct value, so a component's equal weights are one row.
+    Components of more than ``AT_ONCE`` distinct weights, of which there are few, are ranked one by one
+    over range partitions; the others by a window each.
     """
-    at = tree.join(components, F.col("src") == F.col("id")).groupBy("label", "w").agg(F.count(F.lit(1)).alias("c"))
-    totals = at.groupBy("label").agg(F.sum("c").alias("m"))
+    stage = Stage(tree.sparkSession, "cuts")
+    at = stage.put(tree.join(components, F.col("src") == F.col("id")).groupBy("label", "w").agg(F.count(F.lit(1)).alias("c")))
+    totals = at.groupBy("label").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("distinct"))
+    large = [r.label for r in totals.where(F.col("distinct") > AT_ONCE).select("label").collect()]
+    rest = at.join(totals.where(F.col("distinct") <= AT_ONCE), "label")
     upto = F.sum("c").over(Window.partitionBy("label").orderBy("w"))
-    hit = at.withColumn("upto", upto).join(totals, "label").where("upto > m div 2 and upto - c <= m div 2")
-    return hit.select("label", F.col("w").alias("threshold"), F.col("m").alias("tree_edges"))
+    hit = rest.withColumn("upto", upto).where("upto > m div 2 and upto - c <= m div 2")
+    cuts = hit.select("label", F.col("w").alias("threshold"), F.col("m").alias("tree_edges"))
+    for label in large:
+        m, value = at_ranks(tree.join(components.where(F.col("label") == label), F.col("src") == F.col("id")), "w", lambda n: [n // 2], stage)
+        cuts = cuts.union(tree.sparkSession.createDataFrame([(label, value[m // 2], m)], "label string, threshold double, tree_edges bigint"))
+    return cuts
 
 
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -22,23 +22,33 @@ def global_rank(df: DataFrame, order: list, stage: Stage, name: str = "rank") ->
     return ranged.withColumn("_row", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
 
 
-def quantiles(df: DataFrame, column: str, qs: list[float], stage: Stage) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbours; null for no values. Nulls are ignored."""
-    counted = stage.put(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    n = counted.agg(F.sum("c")).first()[0]
-    if not n:
-        return [None] * len(qs)
+def at_ranks(df: DataFrame, column: str, pick, stage: Stage) -> tuple[int, dict[int, float]]:
+    """(n, {i: i-th smallest value}) of a column's n non-null values, for the 0-based ranks ``pick(n)`` asks for.
+
+    Distinct values are range-partitioned and their counts added up by part; few ranks, so few rows, come to the driver.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counted = stage.put(counted, n=F.sum("c"))
+    n = stage.seen["n"] or 0
+    wanted = sorted(set(pick(n))) if n else []
+    if not wanted:
+        return n, {}
     ranged = stage.put(counted.repartitionByRange("v").withColumn("_part", F.spark_partition_id()))
     sums = ranged.groupBy("_part").agg(F.sum("c").alias("s"))
     before = sums.select("_part", (F.sum("s").over(Window.orderBy("_part")) - F.col("s")).alias("_before"))
     upto = F.sum("c").over(Window.partitionBy("_part").orderBy("v")) + F.col("_before")
     ranked = ranged.join(F.broadcast(before), "_part").select("v", (upto - F.col("c")).alias("lo"), upto.alias("hi"))
-    wanted = sorted({i for q in qs for i in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
     hit = F.lit(False)
     for i in wanted:
         hit = hit | ((F.col("lo") <= i) & (F.col("hi") > i))
-    found = ranked.where(hit).collect()  # at most two rows a quantile
-    at = {i: r.v for r in found for i in wanted if r.lo <= i < r.hi}
+    return n, {i: r.v for r in ranked.where(hit).collect() for i in wanted if r.lo <= i < r.hi}
+
+
+def quantiles(df: DataFrame, column: str, qs: list[float], stage: Stage) -> list[float | None]:
+    """Exact quantiles with linear interpolation between neighbours; null for no values. Nulls are ignored."""
+    n, at = at_ranks(df, column, lambda n: [f((n - 1) * q) for q in qs for f in (math.floor, math.ceil)], stage)
+    if not n:
+        return [None] * len(qs)
     out = []
     for q in qs:
         h = (n - 1) * q
