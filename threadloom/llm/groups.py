@@ -64,8 +64,8 @@ def consolidate(ids: DataFrame, links: DataFrame, levels: int = 12) -> DataFrame
     labels = min_labels(rest, stage, at_once=0)
     if giant is not None:
         # the contracted vertex may itself have got a smaller label
-        of_low = labels.where(F.col("id") == F.lit(low)).select(F.col("label").alias("lower"))
-        giant = giant.join(F.broadcast(of_low), how="left", on=F.lit(True)).select("id", F.coalesce("lower", "label").alias("label"))
+        lower = labels.where(F.col("id") == F.lit(low)).select("label").collect()
+        giant = giant.select("id", F.lit(lower[0].label if lower else low).alias("label"))
         labels = giant.union(labels.where(F.col("id") != F.lit(low)))
     ends = links.select(F.col("source").cast("string").alias("id")).union(links.select(F.col("target").cast("string")))
     every = ids.select(F.col("id").cast("string").alias("id")).union(ends).where("id is not null").distinct()
