@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import scores, text, urls
 from threadloom.operators import canopy, layers, louvain, metrics, mst, parse, scoring, tfidf, vectors
-from threadloom.plans import pipeline
+from threadloom.plans import benchmarks, pipeline, reports
 from threadloom.runtime import Stage
 from threadloom.schema import Params
 from threadloom.sinks import files
@@ -402,10 +402,30 @@ def test_analysis(spark):
     for f in got.values():
         f.limit(1).collect()
     assert r.details.count() == r.metrics["num_suspicious_users"]
+    table = reports.cluster_report(r).collect()
+    assert tuple(table[0].asDict()) == reports.CLUSTER_COLUMNS and len(table) == r.metrics["num_clusters"] and sum(x.jumlah_akun for x in table) == len(ids)
+    nodes, edges = reports.visible_graph(r, table[0].cluster_id)
+    assert nodes.count() == table[0].jumlah_akun and edges.count() <= len(e)
+    assert reports.visible_graph(r, suspicious_only=True)[0].count() == r.metrics["num_suspicious_users"]
+    q = reports.quality_row(r)
+    assert 0 <= q["suspicious_user_ratio"] <= 1 and q["max_suspicious_score"] >= q["mean_suspicious_score"]
+    assert all(x.driver in scoring.WEIGHTS for x in reports.top_driver(r.cluster_stats).collect())
     with pytest.raises(ValueError):
         pipeline.analyze(c.limit(0))
 
 
+def test_method_comparison(spark):
+    c = sources.read_table(spark, "/root/testdata/sf0.001/comments.parquet")
+    rows = benchmarks.compare_methods(c, 100)
+    assert [x["method"] for x in rows] == ["canopy_mst", "louvain"] and rows[1]["modularity"] >= rows[0]["modularity"] - 1e-9
+    assert rows[0]["kept_edges"] == rows[0]["num_nodes"] - rows[0]["num_clusters"]
+    one = benchmarks.run_once(c, 50, "canopy_only")
+    mean = benchmarks.aggregate([one, one | {"total_sec": None}], ("mode", "requested_comments"))
+    assert mean[0]["repeats"] == 2 and mean[0]["total_sec"] == one["total_sec"]
+    with pytest.raises(ValueError):
+        benchmarks.run_once(c, 50, "other")
+
+
 def test_canopies_of_texts(spark):
     t = sources.texts_from_dict(spark, {f"user_{i:02d}": f"spam promo akun {i % 3} diskon cepat" for i in range(12)})
     c = pipeline.canopies(t, 0.6, 0.8)

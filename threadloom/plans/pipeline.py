@@ -22,6 +22,13 @@ STAGES = {"fetching": 0.05, "parsing": 0.30, "canopy": 0.45, "graph": 0.60, "clu
 Progress = Callable[[str, float], None]
 
 
+@dataclass
+class Parsed:
+    records: DataFrame
+    members: DataFrame
+    summary: DataFrame
+
+
 @dataclass
 class RunResult:
     nodes: DataFrame
@@ -33,6 +40,7 @@ class RunResult:
     details: DataFrame
     metrics: dict[str, float]
     timings: dict[str, float] = field(default_factory=dict)
+    parsed: Parsed | None = None
 
 
 class _Timer:
@@ -48,13 +56,6 @@ class _Timer:
             self.progress(name, STAGES[name])
 
 
-@dataclass
-class Parsed:
-    records: DataFrame
-    members: DataFrame
-    summary: DataFrame
-
-
 def parse_comments(comments: DataFrame, stage: Stage, arrays: bool = False) -> Parsed:
     recs = stage.put(parse.records(comments))
     members = stage.put(parse.thread_members(recs))
@@ -125,10 +126,14 @@ def text_samples(recs: DataFrame, length: int = 280) -> DataFrame:
     return joined.select("user_id", F.substring(F.array_join(F.transform("p", lambda x: x["t"]), " "), 1, length).alias("text_sample"))
 
 
-def analyze(comments: DataFrame, params: Params | None = None, progress: Progress | None = None, arrays: bool = False) -> RunResult:
+def analyze(
+    comments: DataFrame, params: Params | None = None, progress: Progress | None = None, arrays: bool = False, use_canopies: bool = True, cluster: Callable[[DataFrame, DataFrame], DataFrame] = mst.clusters
+) -> RunResult:
     """The full analysis of the first ``max_comments`` comments. No comments are a ValueError.
 
     ``arrays`` keeps each account's timestamps and threads, whose length has no bound, in the nodes.
+    Without ``use_canopies`` they are found but neither penalise edges nor count in the metrics.
+    ``cluster`` makes (cluster_id, user_id) of nodes and edges.
     """
     params = params or Params()
     stage, timer = Stage(comments.sparkSession, "analysis"), _Timer(progress)
@@ -144,12 +149,12 @@ def analyze(comments: DataFrame, params: Params | None = None, progress: Progres
     if fitted:
         sparse = content_vectors(fitted, stage)
         found = canopies_.build(embedded := embed(fitted, sparse, stage), user_order(parsed.summary), params.canopy_t1, params.canopy_t2, params.auto_tune_canopy)
-    assignment = stage.put(found.assignment) if found else None
+    assignment = stage.put(found.assignment) if found and use_canopies else None
     timer("graph")
     edges = build_graph(parsed, sparse if fitted and fitted.n_docs >= 2 else None, fitted.n_features if fitted else 0, params, assignment, stage)
     ids = parsed.summary.select(F.col("user_id").alias("id"))
     timer("clustering")
-    clusters = stage.put(mst.clusters(ids, edges))
+    clusters = stage.put(cluster(ids, edges))
     timer("scoring")
     weights = fitted.weights.select("doc", "term", "w") if fitted and fitted.n_docs >= 2 else None
     stats, cutoff = scoring.suspicion(scoring.cluster_stats(clusters, edges, parsed.summary, weights))
@@ -166,7 +171,7 @@ def analyze(comments: DataFrame, params: Params | None = None, progress: Progres
     nodes = nodes_of(parsed, assignment).join(flags, F.col("id") == F.col("su"), "left").drop("su", "fu")
     nodes = nodes.withColumn("suspicious_score", F.coalesce("suspicious_score", F.lit(0.0))).withColumn("suspicious_flag", F.coalesce("flag", F.lit(False))).drop("flag")
     timer("")
-    return RunResult(nodes, edges, clusters, found, stats, scores, details, values, timer.seconds)
+    return RunResult(nodes, edges, clusters, found, stats, scores, details, values, timer.seconds, parsed)
 
 
 def run_metrics(ids: DataFrame, edges: DataFrame, clusters: DataFrame, stats: DataFrame, cutoff: float, assignment: DataFrame | None) -> dict[str, float]:
