@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom import schema
 from threadloom.functions.text import json_leaves, mentions
 from threadloom.operators import hierarchy
+from threadloom.runtime import Stage
 
 _FALSY = ("null", '""', "0", "0.0", "false", "{}", "[]")
 
@@ -131,7 +132,7 @@ def thread_roots(lookup: DataFrame) -> DataFrame:
 
 def thread_members(recs: DataFrame) -> DataFrame:
     """Distinct (root, user_id): authors of a thread's comments and of the comments they answer."""
-    lookup = comment_lookup(recs)
+    lookup = Stage(recs.sparkSession, "members").put(comment_lookup(recs))  # used for roots and for authors
     roots = thread_roots(lookup)
     start = F.coalesce("parent_id", "comment_id")
     at = recs.where(start.isNotNull()).select("user_id", "parent_id", start.alias("start"))
