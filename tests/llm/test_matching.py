@@ -99,17 +99,31 @@ def test_gray_order_is_gray():
     assert sorted(neardup.gray_order(wide).tolist()) == [0, 1, 2, 3]
 
 
-def test_index_loses_nothing():
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("noise,at_once", [(1, 500_000), (40, 500_000), (40, 1000), (1, 1000)])
+def test_index_loses_nothing(monkeypatch, noise, at_once):
+    monkeypatch.setattr(neardup, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(noise)
     base = rng.integers(0, 2**63, (20, 2)).astype(np.uint64)
-    prints = base[rng.integers(20, size=400)] ^ (np.uint64(1) << rng.integers(0, 63, (400, 2)).astype(np.uint64))
+    prints = base[rng.integers(20, size=400)]
+    for _ in range(noise):
+        prints = prints ^ (np.uint64(1) << rng.integers(0, 63, (400, 2)).astype(np.uint64))
     sizes = rng.integers(14, 30, 400)
     order = neardup.gray_order(prints)
-    i, j = neardup.GrayIndex(prints[order], sizes[order]).search(0.6)
+    parts = list(neardup.GrayIndex(prints[order], sizes[order]).search(0.6))
+    got = {(a, b) for i, j in parts for a, b in zip(i.tolist(), j.tolist())}
     p, s = prints[order], sizes[order]
     apart = np.bitwise_count(p[:, None] ^ p[None]).sum(axis=2)
     ok = (apart <= 0.25 * (s[:, None] + s[None]) + 1e-9) & (s[:, None] <= s[None] / 0.6 + 1e-9) & (s[None] <= s[:, None] / 0.6 + 1e-9)
-    assert set(zip(i.tolist(), j.tolist())) >= {(a, b) for a, b in zip(*np.nonzero(ok)) if a < b}
+    assert got >= {(a, b) for a, b in zip(*np.nonzero(ok)) if a < b} and all(a < b for a, b in got)
+
+
+def test_a_family_of_thousands_in_one_block():
+    rng = np.random.default_rng(0)
+    common = rng.integers(0, 2**31, 16)
+    rows = [np.unique(np.append(common, rng.integers(0, 2**31, 1))) for _ in range(2500)]
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    links = neardup.matched(np.concatenate(rows), ends, np.diff(ends), 0.6)
+    assert len(links) == 2499
 
 
 def clusters(rng, n, dim, centers, noise):

@@ -33,9 +33,12 @@ COUNT_CELLS = 1 << 18
 FREQUENT = 4096
 #: Rows of one block that a task compares at once; larger blocks are compared in pairs of chunks.
 BLOCK = 4096
-LEAF = 8
+LEAF = 4
 FAN = 8
-WORDS64 = 2  # fingerprint length in 64-bit words
+WORDS64 = 4  # fingerprint length in 64-bit words
+#: Rows that meet all nodes of a level at once.
+SWEEP = 256
+PAIRS_AT_ONCE = 200_000
 #: Sets of more words travel as a wide fingerprint, not as their words, and are compared in full at the end.
 LONG = 512
 WIDE64 = 64
@@ -80,34 +83,80 @@ class GrayIndex:
             self.levels.append((mask, value, low, high, fan))
             fan = FAN
 
-    def search(self, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i, j), i < j, of rows whose fingerprints and sizes allow the similarity."""
+    def _sweep(self, k: int, share: float, similarity: float) -> tuple[np.ndarray, np.ndarray] | None:
+        """(row, node) pairs of a level that may hold matches, all rows against all nodes; null if most do."""
+        mask, value, low, high, _ = self.levels[k]
+        rows, nodes, most = [], [], len(self.sizes) * len(low) // 2
+        for a in range(0, len(self.sizes), SWEEP):
+            part = self.prints[a : a + SWEEP]
+            apart = np.zeros((len(part), len(low)), np.uint16)
+            for w in range(part.shape[1]):
+                apart += np.bitwise_count((part[:, w, None] ^ value[None, :, w]) & mask[None, :, w])
+            s = self.sizes[a : a + SWEEP, None].astype(np.float32)
+            alive = (apart <= share * (s + high) + 1e-4) & (low <= s / similarity + 1e-4) & (high >= s * similarity - 1e-4)
+            i, j = np.nonzero(alive)
+            rows.append(i + a)
+            nodes.append(j)
+            most -= len(i)
+            if most < 0:
+                return None
+        return np.concatenate(rows), np.concatenate(nodes)
+
+    def search(self, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j), i < j, of rows whose fingerprints and sizes allow the similarity, a limited number at a time.
+
+        A level is swept as a whole as long as the ones above it have left most of it in play; from
+        the first level that leaves out more than half, only the children of what is left are met.
+        """
         share = (1 - similarity) / (1 + similarity)
         n = len(self.sizes)
-        q = np.arange(n)
-        node = np.zeros(n, np.int64)
+        found = None
         for k in range(len(self.levels) - 1, -1, -1):
-            mask, value, low, high, fan = self.levels[k]
-            apart = np.bitwise_count((self.prints[q] ^ value[node]) & mask[node]).sum(axis=1)
-            s = self.sizes[q]
-            alive = (apart <= share * (s + high[node]) + 1e-9) & (low[node] <= s / similarity + 1e-9) & (high[node] >= s * similarity - 1e-9)
-            q, node = q[alive], node[alive]
-            below = len(self.levels[k - 1][1]) if k else n
-            child = (node[:, None] * fan + np.arange(fan)).ravel()
-            q = np.repeat(q, fan)
-            keep = child < below
-            if not k:
-                keep &= child > q  # at the rows: each pair once
-            q, node = q[keep], child[keep]
-        apart = np.bitwise_count(self.prints[q] ^ self.prints[node]).sum(axis=1)
-        near = apart <= share * (self.sizes[q] + self.sizes[node]) + 1e-9
-        return q[near], node[near]
+            mask, value, low, high, _ = self.levels[k]
+            if found is None:
+                found = self._sweep(k, share, similarity)
+            else:
+                q, node = found
+                apart = np.bitwise_count((self.prints[q] ^ value[node]) & mask[node]).sum(axis=1)
+                s = self.sizes[q]
+                alive = (apart <= share * (s + high[node]) + 1e-9) & (low[node] <= s / similarity + 1e-9) & (high[node] >= s * similarity - 1e-9)
+                found = q[alive], node[alive]
+            if found is not None:
+                found = self._children(k, *found)
+        for i, j in self._parts(found):
+            apart = np.bitwise_count(self.prints[i] ^ self.prints[j]).sum(axis=1)
+            near = apart <= share * (self.sizes[i] + self.sizes[j]) + 1e-9
+            yield i[near], j[near]
+
+    def _parts(self, found) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if found is not None:
+            for a in range(0, len(found[0]), PAIRS_AT_ONCE):
+                yield found[0][a : a + PAIRS_AT_ONCE], found[1][a : a + PAIRS_AT_ONCE]
+            return
+        n = len(self.sizes)  # nothing could be left out
+        step = max(1, PAIRS_AT_ONCE // n)
+        for a in range(0, n, step):
+            i, j = np.nonzero(np.arange(n) > np.arange(a, min(a + step, n))[:, None])
+            yield i + a, j
+
+    def _children(self, k: int, q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs with the children of nodes; at the rows each pair once."""
+        fan = self.levels[k][4]
+        below = len(self.levels[k - 1][1]) if k else len(self.sizes)
+        if not k:
+            late = (node + 1) * fan - 1 > q
+            q, node = q[late], node[late]
+        child = (node[:, None] * fan + np.arange(fan)).ravel()
+        q = np.repeat(q, fan)
+        keep = child < below
+        if not k:
+            keep &= child > q
+        return q[keep], child[keep]
 
 
 def matched(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Matching pairs of rows, as many as a spanning forest of all matches has."""
     order = gray_order(prints := fingerprints(hashes, ends))
-    left, right = GrayIndex(prints[order], sizes[order]).search(similarity)
     sets: dict[int, frozenset] = {}
     root = list(range(len(sizes)))
 
@@ -122,13 +171,19 @@ def matched(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, similarity:
         return sets[x]
 
     out = []
-    for a, b in zip(order[left].tolist(), order[right].tolist()):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            both = len(words(a) & words(b))
-            if both >= similarity * (int(sizes[a]) + int(sizes[b]) - both) - 1e-9:
-                root[ra] = rb
-                out.append((a, b))
+    for left, right in GrayIndex(prints[order], sizes[order]).search(similarity):
+        left, right = order[left], order[right]
+        if out:  # what is linked already needs no look
+            at = np.array([find(x) for x in range(len(sizes))])
+            apart = at[left] != at[right]
+            left, right = left[apart], right[apart]
+        for a, b in zip(left.tolist(), right.tolist()):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                both = len(words(a) & words(b))
+                if both >= similarity * (int(sizes[a]) + int(sizes[b]) - both) - 1e-9:
+                    root[ra] = rb
+                    out.append((a, b))
     return out
 
 
@@ -234,8 +289,8 @@ def _wide_blocks(similarity: float):
         for a, b in zip(starts[:-1], starts[1:]):
             if b - a > 1:
                 order = gray_order(prints[a:b]) + a
-                left, right = GrayIndex(prints[order], n[order]).search(similarity)
-                found += zip(nid[order[left]].tolist(), nid[order[right]].tolist())
+                for left, right in GrayIndex(prints[order], n[order]).search(similarity):
+                    found += zip(nid[order[left]].tolist(), nid[order[right]].tolist())
         return _edges([(min(p), max(p)) for p in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
