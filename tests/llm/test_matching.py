@@ -99,22 +99,39 @@ def test_gray_order_is_gray():
     assert sorted(neardup.gray_order(wide).tolist()) == [0, 1, 2, 3]
 
 
+def index_pairs(prints, sizes, similarity, **more):
+    order = neardup.gray_order(prints)
+    index = neardup.GrayIndex(prints[order], sizes[order], **{k: v[order] for k, v in more.items()})
+    return {tuple(sorted((order[a], order[b]))) for i, j in index.search(similarity) for a, b in zip(i.tolist(), j.tolist())}, index
+
+
 @pytest.mark.parametrize("noise,at_once", [(1, 500_000), (40, 500_000), (40, 1000), (1, 1000)])
 def test_index_loses_nothing(monkeypatch, noise, at_once):
-    monkeypatch.setattr(neardup, "PAIRS_AT_ONCE", at_once)
+    monkeypatch.setattr(neardup, "AT_ONCE", at_once)
+    monkeypatch.setattr(neardup, "SEARCHING", 150)
     rng = np.random.default_rng(noise)
-    base = rng.integers(0, 2**63, (20, 2)).astype(np.uint64)
-    prints = base[rng.integers(20, size=400)]
-    for _ in range(noise):
-        prints = prints ^ (np.uint64(1) << rng.integers(0, 63, (400, 2)).astype(np.uint64))
-    sizes = rng.integers(14, 30, 400)
-    order = neardup.gray_order(prints)
-    parts = list(neardup.GrayIndex(prints[order], sizes[order]).search(0.6))
-    got = {(a, b) for i, j in parts for a, b in zip(i.tolist(), j.tolist())}
-    p, s = prints[order], sizes[order]
-    apart = np.bitwise_count(p[:, None] ^ p[None]).sum(axis=2)
-    ok = (apart <= 0.25 * (s[:, None] + s[None]) + 1e-9) & (s[:, None] <= s[None] / 0.6 + 1e-9) & (s[None] <= s[:, None] / 0.6 + 1e-9)
-    assert got >= {(a, b) for a, b in zip(*np.nonzero(ok)) if a < b} and all(a < b for a, b in got)
+    sets = [set(rng.integers(0, 2**62, 20).tolist()) for _ in range(20)]
+    rows = []
+    for _ in range(400):
+        x = sorted(sets[rng.integers(20)])
+        for _ in range(rng.integers(0, noise // 2 + 1)):
+            x[rng.integers(len(x))] = int(rng.integers(0, 2**62))
+        rows.append(np.unique(x[: rng.integers(8, 21)]))
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    got, _ = index_pairs(neardup.fingerprints(np.concatenate(rows), ends), np.diff(ends), 0.6)
+    want = {(a, b) for a in range(400) for b in range(a + 1, 400) if len(np.intersect1d(rows[a], rows[b])) >= 0.6 * len(np.union1d(rows[a], rows[b])) - 1e-9}
+    assert got >= want and all(a != b for a, b in got)
+
+
+@pytest.mark.parametrize("rows", [50, 300, 2000])
+def test_upper_levels_leave_groups_out(rows):
+    rng = np.random.default_rng(rows)
+    ends = np.arange(rows + 1) * 24
+    hashes = rng.integers(0, 2**62, rows * 24)
+    got, index = index_pairs(neardup.fingerprints(hashes, ends, neardup.width64(rows, 24)), np.full(rows, 24), 0.6)
+    assert not got
+    # by level from the rows up: nearly all leaves but a row's own are left out, and fewer nodes met than there are pairs
+    assert index.kept[1] <= 1.1 * rows and index.met.sum() < rows * (rows - 1) / 3
 
 
 def test_a_family_of_thousands_in_one_block():
@@ -126,6 +143,22 @@ def test_a_family_of_thousands_in_one_block():
     assert len(links) == 2499
 
 
+@pytest.mark.parametrize("frequent,block", [(1, 4096), (4, 4096), (4, 16), (4096, 4096)])
+@pytest.mark.parametrize("similarity", [0.3, 0.6])
+def test_short_sets_under_frequent_words(spark, monkeypatch, frequent, block, similarity):
+    monkeypatch.setattr(neardup, "FREQUENT", frequent)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(frequent)
+    texts = {f"r{i:03d}": " ".join(rng.sample([f"w{k}" for k in range(40)], rng.randint(1, 8))) for i in range(300)}
+    texts |= {"a0": "alpha beta", "a1": "alpha beta gamma"} | {f"b{i}": f"alpha x{i}" for i in range(40)} | {f"c{i}": f"beta y{i}" for i in range(40)}
+    sets = {k: set(v.split()) for k, v in texts.items()}
+    want = union_find(sets, neighbours(sets, similarity))
+    groups_ = list(want.values())
+    df = spark.createDataFrame([("c", k, v) for k, v in texts.items()], "collection string, record_id string, text string")
+    got = {r.record_id: r.group_id for r in neardup.near_duplicate_groups(df, similarity, 1, neardup.distinct_words).collect()}
+    assert got == {k: g for k, g in want.items() if groups_.count(g) > 1}
+
+
 def clusters(rng, n, dim, centers, noise):
     c = rng.standard_normal((centers, dim))
     x = c[rng.integers(centers, size=n)] + noise * rng.standard_normal((n, dim))
