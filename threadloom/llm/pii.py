@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.lookalikes import _expand
 
-KINDS = ("email", "phone", "id_number", "address", "name")
+KINDS = ("email", "phone", "id_number", "address", "name", "card", "iban")
 THRESHOLD = 0.5
 #: Characters before a span in which context words count.
 NEAR = 32
@@ -53,8 +54,32 @@ def _phone(digits: str) -> bool:
     return 8 <= len(digits) <= 15
 
 
+# First digits and lengths of payment cards by issuer.
+_ISSUERS = (
+    (r"4", (13, 16, 19)), (r"5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720", (16,)), (r"3[47]", (15,)), (r"30[0-5]|3095|3[689]", (14,)), (r"6011|64[4-9]|65", (16, 19)), (r"35(?:2[89]|[3-8])", (16,)), (r"62", (16, 17, 18, 19)),
+)
+# Length of an account number by country.
+_IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
+
+
+def card(digits: str) -> bool:
+    """A payment card: an issuer's first digits and length, and the Luhn check."""
+    return luhn(digits) and any(len(digits) in lengths and re.match(first, digits) for first, lengths in _ISSUERS)
+
+
+def iban(text: str) -> bool:
+    """An account number of its country's length whose rearranged digits leave 1 when divided by 97."""
+    code = re.sub(r"\s", "", text).upper()
+    return len(code) == _IBAN_LENGTH.get(code[:2]) and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
 # Words that speak for or against a kind when they stand before a span.
 _FOR_PHONE = re.compile(r"\b(?:wa|hub|hubungi|telp|tlp|telepon|phone|tel|call|chat|nomor(?:ku)?|no|hp|via|sms|kontak|contact|whatsapp)\b", re.I)
+_FOR_CARD = re.compile(r"\b(?:kartu|card|cc|visa|mastercard|amex|kredit|debit|credit)\b", re.I)
 _FOR_ID = re.compile(r"\b(?:nik|ktp|induk|kependudukan|npwp|ssn|social|security|tax|tin|sim|paspor|passport|license|licence|national|identity|sin|niss)\b", re.I)
 _AGAINST = re.compile(r"\b(?:resi|order|kode|video|tgl|tanggal|jam|view|views|versi|version|ip|harga(?:nya)?|rp|invoice|tracking|parcel|paket)\b[^\w]*$|https?://\S*$|www\.\S*$", re.I)
 
@@ -66,11 +91,12 @@ class Detector:
     kind: str
     pattern: re.Pattern
     base: float
-    valid: Callable[[str], bool] | None = None  # on the span's digits
+    valid: Callable[[str], bool] | None = None  # on the span's digits, for an account number on the span
     confirmed: float = 0.0  # added where valid
     context: re.Pattern | None = None
     near: float = 0.0  # added where a context word stands before
     against: float = 0.0  # taken off where a speaking-against word stands right before
+    cue: str = ""  # a pattern that any match contains
 
 
 def _p(pattern: str, flags: int = re.I) -> re.Pattern:
@@ -85,56 +111,98 @@ _DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)"
 _TITLE = r"[A-Z][\w'’-]+(?: [A-Z]\.?(?![\w]))?(?: [A-Z][\w'’-]+){0,2}"
 _LOWER = r"[a-z][\w'’-]+(?: [a-z]\.)?(?: [a-z][\w'’-]+(?: [a-z][\w'’-]+(?=\s*(?:[,.!/\n-]|$)))?)?"
 _NAME = rf"(?:{_TITLE}|{_LOWER})"
+_FREE = r"[A-Za-z][\w'’-]+(?: [A-Za-z]\.?)?(?: [A-Za-z][\w'’-]+){0,2}?"
+_FULL = r"[A-Z][a-z'’-]+(?: [A-Z]\.)?(?: [A-Z][a-z'’-]+){1,2}"
 # What follows a cue without being a name.
 _NO_NAME = r"(?!(?:rt|rw|guru|sopir|supir|dokter|lurah|camat|polisi|satpam|kades|ustad|haji|dosen|bidan|rahasia|saya|tokonya|toko|kamu|aku|kita|the|a|not|my|your|very|so|just)\b)"
 _TITLES = r"(?:Pak|Bu|Ibu|Bapak|Mbak|Mas|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|PAK|BU|MBAK|MAS|IBU|BAPAK)"
 _ROAD = r"(?:jl|jln|jalan|gg|gang)\b\.?"
 _PLACE = r"(?:,?\s+(?:kec|kel|kab)\.?\s+[a-z]+)?"
 _NUMBER = r"(?:no(?:mor)?\b\.?\s*\d+[a-z]?|no\.\d+)"
+# Cues: what every match of the detectors built on them contains.
+_AT, _AT_SPELT, _AT_BARE = r"(?:@|\s@\s)", r"\s?[\[(]\s?at\s?[\])]\s?", r"\s(?:at|et)\s"
+_INTRO = r"(?<!\w)(?:nama saya|namaku|nama lengkap|my name is|my name's|atas nama|ttd|ask for|penerima)"
+_ON_BEHALF, _AN, _THIS_IS = r"(?<!\w)a\.\s?n\.", r"(?<!\w)an\s", r"(?<!\w)this is\s"
+_PERSON = r"(?<!\w)(?:pak|bu|ibu|bapak|mbak|mas|mr\.?|mrs\.?|ms\.?|dr\.?)\s"
+_SIGNED = r"(?<!\w)(?:regards|sincerely|yours truly|cheers|hormat saya|salam hangat|salam|tertanda|signed|contact person|contact|narahubung|attn\.?|dear|kepada|yth\.?|i am|i'm|prof\.?|sdr\.?|sdri\.?|kak|bang)"
+
+
+def _d(kind: str, cue: str, pattern: str, base: float, valid=None, confirmed=0.0, context=None, near=0.0, against=0.0, flags: int = re.I) -> Detector:
+    return Detector(kind, _p(pattern, flags), base, valid, confirmed, context, near, against, cue)
 
+
+_DIGIT, _DIGIT_RE = r"\d", re.compile(r"\d")
 DETECTORS = (
-    Detector("email", _p(rf"{_LOCAL}(?:@|\s@\s)(?:{_HOST}\.)+[a-z]{{2,}}"), 0.9),
-    Detector("email", _p(rf"{_LOCAL}\s?[\[(]\s?at\s?[\])]\s?{_HOST}(?:{_DOT}{_HOST})+"), 0.9),
-    Detector("email", _p(rf"{_LOCAL}\s(?:at|et)\s{_HOST}(?:(?:\sdot\s|\.){_HOST})*\s?(?:\sdot\s|\.)[a-z]{{2,}}\b"), 0.8),
+    # account numbers and payment cards: the checksum decides
+    _d("iban", _DIGIT, r"\b[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?(?!\w)", 0.0, iban, 1.0),
+    _d("card", _DIGIT, r"(?<![\w.-])\d{4}(?:[ \-]?\d{4}){2,3}(?:[ \-]?\d{1,3})?(?![\w]|[.\-]\d)", 0.0, card, 0.8, _FOR_CARD, 0.3, 0.6),
+    _d("card", _DIGIT, r"(?<![\w.-])3\d{3}[ \-]?\d{6}[ \-]?\d{4,5}(?![\w]|[.\-]\d)", 0.0, card, 0.8, _FOR_CARD, 0.3, 0.6),
+    _d("email", _AT, rf"{_LOCAL}{_AT}(?:{_HOST}\.)+[a-z]{{2,}}", 0.9),
+    _d("email", _AT_SPELT, rf"{_LOCAL}{_AT_SPELT}{_HOST}(?:{_DOT}{_HOST})+", 0.9),
+    _d("email", _AT_BARE, rf"{_LOCAL}{_AT_BARE}{_HOST}(?:(?:\sdot\s|\.){_HOST})*\s?(?:\sdot\s|\.)[a-z]{{2,}}\b", 0.8),
     # national id: 16 digits in one piece or in groups
-    Detector("id_number", _p(r"(?<![\w.-])\d(?:[ .\-]?\d){15}(?![\w]|[.-]\d)"), 0.1, resident_id, 0.3, _FOR_ID, 0.4, 0.6),
+    _d("id_number", _DIGIT, r"(?<![\w.-])\d(?:[ .\-]?\d){15}(?![\w]|[.-]\d)", 0.1, resident_id, 0.3, _FOR_ID, 0.4, 0.6),
     # tax id, whose ninth digit is a check digit
-    Detector("id_number", _p(r"(?<![\w.])\d{2}\.\d{3}\.\d{3}\.\d-\d{3}\.\d{3}(?!\d)"), 0.6, lambda d: luhn(d[:9]), 0.2, _FOR_ID, 0.2),
-    Detector("id_number", _p(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), 0.4, None, 0.0, _FOR_ID, 0.5, 0.4),
-    Detector("id_number", _p(r"\b(?:ssn|social security)\b\D{0,12}\d{3}[ .]?\d{2}[ .]?\d{4}\b"), 0.8),
+    _d("id_number", _DIGIT, r"(?<![\w.])\d{2}\.\d{3}\.\d{3}\.\d-\d{3}\.\d{3}(?!\d)", 0.6, lambda d: luhn(d[:9]), 0.2, _FOR_ID, 0.2),
+    _d("id_number", _DIGIT, r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", 0.4, None, 0.0, _FOR_ID, 0.5, 0.4),
+    _d("id_number", _DIGIT, r"\b(?:ssn|social security)\b\D{0,12}\d{3}[ .]?\d{2}[ .]?\d{4}\b", 0.8),
     # driving licence, passport, tax and national numbers that are named
-    Detector("id_number", _p(r"\b(?:sim|driv\w+ licen[cs]e|licen[cs]e)\b\W{0,3}(?:no(?:mor)?\b\W{0,3}|number\W{0,3}|saya\W|is\W)?(?P<span>[a-z]{0,2}\d[\d \-]{9,16}\d)"), 0.8),
-    Detector("id_number", _p(r"\b(?:paspor|passport)\b\W{0,3}(?:no(?:mor)?\b\W{0,3}|number\W{0,3}|saya\W|is\W|ku\W)?(?P<span>[a-z]{1,2}\s?\d{6,8})(?!\w)"), 0.9),
-    Detector("id_number", _p(r"\b(?:sin|niss|tax id|tin|national id)\b\D{0,12}(?P<span>\d[\d .\-]{7,15}\d)"), 0.4, lambda d: len(d) in (9, 11) and (luhn(d) or len(d) == 11 and mod97(d)), 0.4, None, 0.0, 0.3),
-    # phones: international, mobile, area code, three-three-four, digits apart
-    Detector("phone", _p(r"(?<![\w+])(?:\+|00)\d{1,3}(?:[ .\-/]?\(\d{1,4}\))?(?:[ .\-/]?\d{2,12}){1,5}(?!\w)"), 0.6, _phone, 0.2, _FOR_PHONE, 0.2, 0.5),
-    Detector("phone", _p(rf"(?<![\w.\-/+])(?:62|0)8\d{{1,2}}{_SEP}\d{{3,4}}{_SEP}\d{{3,5}}(?![\w]|[.\-/]\d)"), 0.5, _phone, 0.1, _FOR_PHONE, 0.3, 0.6),
-    Detector("phone", _p(r"(?<!\w)\(0\d{2,3}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\w)"), 0.6, None, 0.0, _FOR_PHONE, 0.3, 0.5),
-    Detector("phone", _p(r"(?<![\w.\-/+])0\d{2,3}[ \-]\d{3,4}[ \-]\d{3,4}(?![\w]|[.\-/]\d)"), 0.3, None, 0.0, _FOR_PHONE, 0.4, 0.5),
-    Detector("phone", _p(r"(?<![\w.\-/+])\(?[2-9]\d{2}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\w]|[.\-/]\d)"), 0.5, None, 0.0, _FOR_PHONE, 0.4, 0.6),
-    Detector("phone", _p(r"(?<![\w])[+]?(?:0|6 2)(?:[ ]\d){8,13}(?![\w])"), 0.6, _phone, 0.1, _FOR_PHONE, 0.3, 0.5),
+    _d("id_number", _DIGIT, r"\b(?:sim|driv\w+ licen[cs]e|licen[cs]e)\b\W{0,3}(?:no(?:mor)?\b\W{0,3}|number\W{0,3}|saya\W|is\W)?(?P<span>[a-z]{0,2}\d[\d \-]{9,16}\d)", 0.8),
+    _d("id_number", _DIGIT, r"\b(?:paspor|passport)\b\W{0,3}(?:no(?:mor)?\b\W{0,3}|number\W{0,3}|saya\W|is\W|ku\W)?(?P<span>[a-z]{1,2}\s?\d{6,8})(?!\w)", 0.9),
+    _d("id_number", _DIGIT, r"\b(?:sin|niss|tax id|tin|national id)\b\D{0,12}(?P<span>\d[\d .\-]{7,15}\d)", 0.4, lambda d: len(d) in (9, 11) and (luhn(d) or len(d) == 11 and mod97(d)), 0.4, None, 0.0, 0.3),
+    # phones: international, mobile, area code, three-three-four (bare only in context), digits apart
+    _d("phone", _DIGIT, r"(?<![\w+])(?:\+|00)\d{1,3}(?:[ .\-/]?\(\d{1,4}\))?(?:[ .\-/]?\d{2,12}){1,5}(?!\w)", 0.6, _phone, 0.2, _FOR_PHONE, 0.2, 0.5),
+    _d("phone", _DIGIT, rf"(?<![\w.\-/+])(?:62|0)8\d{{1,2}}{_SEP}\d{{3,4}}{_SEP}\d{{3,5}}(?![\w]|[.\-/]\d)", 0.5, _phone, 0.1, _FOR_PHONE, 0.3, 0.6),
+    _d("phone", _DIGIT, r"(?<!\w)\(0\d{2,3}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\w)", 0.6, None, 0.0, _FOR_PHONE, 0.3, 0.5),
+    _d("phone", _DIGIT, r"(?<![\w.\-/+])0\d{2,3}[ \-]\d{3,4}[ \-]\d{3,4}(?![\w]|[.\-/]\d)", 0.3, None, 0.0, _FOR_PHONE, 0.4, 0.5),
+    _d("phone", _DIGIT, r"(?<![\w.\-/+])\(?[2-9]\d{2}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\w]|[.\-/]\d)", 0.5, None, 0.0, _FOR_PHONE, 0.4, 0.6),
+    _d("phone", _DIGIT, r"(?<![\w.\-/+])[2-9]\d{2}[2-9]\d{6}(?![\w]|[.\-/]\d)", 0.2, None, 0.0, _FOR_PHONE, 0.4, 0.6),
+    _d("phone", _DIGIT, r"(?<![\w])[+]?(?:0|6 2)(?:[ ]\d){8,13}(?![\w])", 0.6, _phone, 0.1, _FOR_PHONE, 0.3, 0.5),
     # addresses: a street or estate with a number
-    Detector("address", _p(rf"\b{_ROAD}\s+(?:[a-z]+\s+){{1,3}}?(?:(?:[ivx]+|\d+)\s+)?{_NUMBER}(?:\s+rt\W{{0,2}}\d+\W{{0,3}}rw\W{{0,2}}\d+)?{_PLACE}"), 0.9),
-    Detector("address", _p(rf"\b{_ROAD}\s+(?:[a-z]+\s+){{1,3}}?\d+\s?/\s?\d+{_PLACE}"), 0.9),
-    Detector("address", _p(rf"\b(?:komplek|kompleks|perum|perumahan)\b\.?\s+(?:[a-z]+\s+){{1,3}}?(?:blok\s+[a-z]\W?\d+(?:\s+{_NUMBER})?|{_NUMBER}){_PLACE}"), 0.9),
-    Detector("address", _p(r"(?<![\w.,/-])\d{1,4}[a-z]?\s+(?:[a-z]+\s+){1,2}?(?:street|road|rd|lane|avenue|ave|boulevard|blvd)\b\.?(?:,?\s+(?:apt|unit|suite)\.?\s*\d+)?"), 0.7, None, 0.0, None, 0.0, 0.3),
-    Detector("address", _p(r"(?<![\w.,/-])\d{1,4}[a-zA-Z]?\s+(?:[A-Z][a-zA-Z]+\s+){1,2}?(?:St|Ln|Drive|Dr|Court|Ct|Way|Place|Pl)\b\.?(?:,?\s+(?:[Aa]pt|[Uu]nit)\.?\s*\d+)?", 0), 0.7),
+    _d("address", _DIGIT, rf"\b{_ROAD}\s+(?:[a-z]+\s+){{1,3}}?(?:(?:[ivx]+|\d+)\s+)?{_NUMBER}(?:\s+rt\W{{0,2}}\d+\W{{0,3}}rw\W{{0,2}}\d+)?{_PLACE}", 0.9),
+    _d("address", _DIGIT, rf"\b{_ROAD}\s+(?:[a-z]+\s+){{1,3}}?\d+\s?/\s?\d+{_PLACE}", 0.9),
+    _d("address", _DIGIT, r"\b(?:[Jj]l|[Jj]ln|[Gg]g)\b\.?\s+(?:[A-Z][a-z]+\s+){1,3}?\d{1,4}[a-zA-Z]?(?!\w|[.,]?\d|\s*(?:x|kali|jam|menit|km|meter|hari|orang|ribu|rb|juta|jt|tahun)\b)", 0.7, flags=0),
+    _d("address", _DIGIT, rf"\b(?:komplek|kompleks|perum|perumahan)\b\.?\s+(?:[a-z]+\s+){{1,3}}?(?:blok\s+[a-z]\W?\d+(?:\s+{_NUMBER})?|{_NUMBER}){_PLACE}", 0.9),
+    _d("address", _DIGIT, r"(?<![\w.,/-])\d{1,4}[a-z]?\s+(?:[a-z]+\s+){1,2}?(?:street|road|rd|lane|avenue|ave|boulevard|blvd)\b\.?(?:,?\s+(?:apt|unit|suite)\.?\s*\d+)?", 0.7, None, 0.0, None, 0.0, 0.3),
+    _d("address", _DIGIT, r"(?<![\w.,/-])\d{1,4}[a-zA-Z]?\s+(?:[A-Z][a-zA-Z]+\s+){1,2}?(?:St|Ln|Drive|Dr|Court|Ct|Way|Place|Pl)\b\.?(?:,?\s+(?:[Aa]pt|[Uu]nit)\.?\s*\d+)?", 0.7, flags=0),
     # names behind a cue
-    Detector("name", _p(rf"\b(?i:nama saya|namaku|nama lengkap|my name is|my name's|atas nama|ttd|ask for|penerima)\b:?\s+(?i:{_NO_NAME})(?P<span>{_NAME})", 0), 0.7),
-    Detector("name", _p(rf"(?<!\w)(?i:a\.\s?n\.)\s+(?i:{_NO_NAME})(?P<span>{_NAME})", 0), 0.7),
-    Detector("name", _p(rf"\b(?i:an)\s+(?i:{_NO_NAME})(?P<span>[A-Za-z][\w'’-]+(?: [A-Za-z]\.?)?(?: [A-Za-z][\w'’-]+){{0,2}}?)\s+ya\b", 0), 0.7),
-    Detector("name", _p(rf"\b(?i:this is)\s+(?i:{_NO_NAME})(?P<span>[A-Za-z][\w'’-]+(?: [A-Za-z]\.?)?(?: [A-Za-z][\w'’-]+){{0,2}}?)\s+(?i:speaking)\b", 0), 0.8),
-    Detector("name", _p(rf"(?<!\w){_TITLES}\s+(?i:{_NO_NAME})(?P<span>[A-Za-z][\w'’-]+(?: [A-Za-z]\.?)?(?: [A-Za-z][\w'’-]+){{0,2}}?)\s+(?i:yang jaga)\b", 0), 0.8),
+    _d("name", _INTRO, rf"\b(?i:{_INTRO})\b:?\s+(?i:{_NO_NAME})(?P<span>{_NAME})", 0.7, flags=0),
+    _d("name", _ON_BEHALF, rf"(?<!\w)(?i:{_ON_BEHALF})\s+(?i:{_NO_NAME})(?P<span>{_NAME})", 0.7, flags=0),
+    _d("name", _AN, rf"\b(?i:{_AN})\s*(?i:{_NO_NAME})(?P<span>{_FREE})\s+ya\b", 0.7, flags=0),
+    _d("name", _THIS_IS, rf"\b(?i:{_THIS_IS})\s*(?i:{_NO_NAME})(?P<span>{_FREE})\s+(?i:speaking)\b", 0.8, flags=0),
+    _d("name", _PERSON, rf"(?<!\w){_TITLES}\s+(?i:{_NO_NAME})(?P<span>{_FREE})\s+(?i:yang jaga)\b", 0.8, flags=0),
     # mbak and mas also open sentences as a mere address, so they need a capitalised name
-    Detector("name", _p(rf"(?<!\w)(?:Pak|Bu|Ibu|Bapak|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|PAK|BU|IBU|BAPAK)\s+(?i:{_NO_NAME})(?P<span>{_NAME})", 0), 0.6),
-    Detector("name", _p(rf"\b(?:[Mm]bak|[Mm]as|pak|bu|ibu|bapak)\s+(?i:{_NO_NAME})(?P<span>{_TITLE})", 0), 0.5),
+    _d("name", _PERSON, rf"(?<!\w)(?:Pak|Bu|Ibu|Bapak|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|PAK|BU|IBU|BAPAK)\s+(?i:{_NO_NAME})(?P<span>{_NAME})", 0.6, flags=0),
+    _d("name", _PERSON, rf"\b(?:[Mm]bak|[Mm]as|pak|bu|ibu|bapak)\s+(?i:{_NO_NAME})(?P<span>{_TITLE})", 0.5, flags=0),
+    # a full name, first and last in capitals, after a greeting, closing or role
+    _d("name", _SIGNED, rf"(?<!\w)(?i:{_SIGNED})[:,]?\s+(?i:{_NO_NAME})(?P<span>{_FULL})(?![\w])", 0.6, flags=0),
 )
+#: A full name that stands alone counts if an e-mail address of the text is made of it.
+_ALONE = _p(rf"(?<![\w@.])(?P<span>{_FULL})(?![\w@])", 0)
+
 
-#: What any proposal needs, for a cheap look before the patterns run (Java and Python syntax alike).
-HINT = r"(?i)[0-9]|@|[\[(] ?at ?[\])]| at |nama|my name|ttd|ask for|penerima|a\. ?n\.|\ban |this is|\b(?:pak|bu|ibu|bapak|mbak|mas|mrs?|ms|dr)\b|[^\x00-\x7f]"
-#: The same by kind, so that a text without digits costs no phone pattern.
-_NEEDS = {"email": re.compile(r"@|\bat\b|\bet\b", re.I), "phone": re.compile(r"\d\D{0,2}\d\D{0,3}\d"), "id_number": re.compile(r"\d{4}|\d[ .\-]\d"), "address": re.compile(r"\d")}
-_NEEDS["name"] = re.compile(r"nama|my name|ttd|ask for|penerima|a\. ?n\.|\ban |this is|\b(?:pak|bu|ibu|bapak|mbak|mas|mrs?|ms|dr)\b", re.I)
+def _least_digits(nodes) -> int:
+    """Digits that any match of a parsed pattern contains, at least."""
+    total = 0
+    for op, arg in nodes:
+        name = str(op)
+        if name == "LITERAL":
+            total += chr(arg).isdigit()
+        elif name == "IN":
+            total += all(str(o) == "RANGE" and chr(x[0]).isdigit() and chr(x[1]).isdigit() or str(x) == "CATEGORY_DIGIT" for o, x in arg)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            total += arg[0] * _least_digits(arg[2])
+        elif name == "SUBPATTERN":
+            total += _least_digits(arg[-1])
+        elif name == "BRANCH":
+            total += min(map(_least_digits, arg[1]))
+    return total
+
+
+#: Digits that a text needs for a detector, from the detector's own pattern.
+_DIGITS = {d: _least_digits(_parser.parse(d.pattern.pattern, d.pattern.flags & ~re.UNICODE)) for d in DETECTORS}
+#: What a text needs for any detector of a kind, put together from the detectors' own cues.
+_NEEDS = {k: re.compile("|".join(dict.fromkeys(f"(?:{d.cue})" for d in DETECTORS if d.kind == k)), re.I) for k in KINDS}
 
 
 @lru_cache(maxsize=None)
@@ -163,14 +231,14 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         return []
     plain, at = plain_copy(text)
     found = []
-    needed = {k for k, r in _NEEDS.items() if r.search(plain)}
+    needed, digits = {k for k, r in _NEEDS.items() if r.search(plain)}, len(_DIGIT_RE.findall(plain))
     for rank, d in enumerate(DETECTORS):
-        if d.kind not in needed:
+        if d.kind not in needed or digits < _DIGITS[d]:
             continue
         for m in d.pattern.finditer(plain):
             a, b = m.span("span") if "span" in d.pattern.groupindex else m.span()
             score = d.base
-            if d.valid and d.valid(re.sub(r"\D", "", plain[a:b])):
+            if d.valid and d.valid(plain[a:b] if d.kind == "iban" else re.sub(r"\D", "", plain[a:b])):
                 score += d.confirmed
             if d.context or d.against:
                 before = plain[max(0, m.start() - NEAR) : m.start()]
@@ -180,6 +248,10 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                     score -= d.against
             if score >= THRESHOLD:
                 found.append((score, -rank, a, b, d.kind))
+    if local := "".join(re.split("@|[\\[(]| at | et ", plain[a:b].lower())[0] + " " for _, _, a, b, kind in found if kind == "email"):
+        for m in _ALONE.finditer(plain):
+            if sum(len(w) > 3 and w.lower()[:4] in local for w in m["span"].split()) > 1:
+                found.append((0.6, -len(DETECTORS), *m.span("span"), "name"))
     taken: list[tuple[int, int, str]] = []
     for _, _, a, b, kind in sorted(found, reverse=True):
         if all(b <= x or a >= y for x, y, _ in taken):
@@ -219,7 +291,7 @@ def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
     repeats included, and nothing is shuffled.
     """
     kind = rows.schema[key].dataType.simpleString()
-    some = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(HINT))
+    some = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null and text <> ''")
     return some.mapInArrow(_find, f"key {kind}, text string, kinds array<string>")
 
 

@@ -50,7 +50,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = pii.findings(_table(spark, d, "comments"), "pos", "text")
-    return found.select(F.col("key").alias("pos"), F.explode("kinds").alias("kind"))
+    kinds = found.select(F.col("key").alias("pos"), F.explode("kinds").alias("kind"))
+    return kinds.where(F.col("kind").isin("email", "phone", "id_number", "address", "name"))  # cards and account numbers are no kind of this table
 
 
 def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
