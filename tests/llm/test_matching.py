@@ -165,28 +165,56 @@ def clusters(rng, n, dim, centers, noise):
     return x * rng.uniform(0.5, 3, (n, 1))
 
 
+def exact_neighbours(x, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    return {(f"v{i:05d}", f"v{j:05d}") for i, row in enumerate(np.argsort(-s, axis=1)[:, :k]) for j in row}
+
+
+def recall(spark, x, k=5, **more):
+    df = spark.createDataFrame([(f"v{i:05d}", [float(z) for z in v]) for i, v in enumerate(x)], "user_id string, embeddings array<double>")
+    got = {(r.id, r.neighbour) for r in knn.nearest(knn.usable(df, "user_id", "embeddings", x.shape[1]), x.shape[1], k, **more).collect()}
+    assert len(got) == k * len(x)
+    return len(got & exact_neighbours(x, k)) / len(got)
+
+
 @pytest.mark.parametrize("stored,searching", [(4096, 16384), (64, 100)])
 def test_nearest_recall(spark, monkeypatch, stored, searching):
     monkeypatch.setattr(knn, "STORED", stored)
     monkeypatch.setattr(knn, "SEARCHING", searching)
     monkeypatch.setattr(knn, "CELL_ROWS", 100)
-    x = clusters(np.random.default_rng(2), 1200, 64, 12, 0.35)
-    df = spark.createDataFrame([(f"v{i:04d}", [float(z) for z in v]) for i, v in enumerate(x)], "user_id string, embeddings array<double>")
-    got = {(r.id, r.neighbour) for r in knn.nearest(knn.usable(df, "user_id", "embeddings", 64), 64, 5, 0.0).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    np.fill_diagonal(s, -2)
-    want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
-    assert len(got) == 6000 and len(got & want) / len(want) > 0.9
+    assert recall(spark, clusters(np.random.default_rng(2), 1200, 64, 12, 0.35)) > 0.97
+
+
+@pytest.mark.parametrize("cell_rows", [100, 8])
+def test_nearest_recall_without_structure(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(knn, "CELL_ROWS", cell_rows)
+    assert recall(spark, np.random.default_rng(4).standard_normal((2000, 24))) > 0.97
+
+
+def test_copies_of_a_vector(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_ROWS", 50)
+    x = np.random.default_rng(5).standard_normal((40, 8)).astype(np.float32)
+    rows = [(f"a{i:03d}", x[0]) for i in range(60)] + [(f"b{i:03d}", x[i % 20 + 1]) for i in range(40)] + [(f"c{i:03d}", x[i + 21]) for i in range(19)]
+    m = np.stack([v for _, v in rows]).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = {}
+    for i, (a, v) in enumerate(rows):
+        near = sorted((-round(float(m[i] @ m[j]), 9), b) for j, (b, _) in enumerate(rows) if j != i)[:5]
+        want |= {(a, b): -s for s, b in near}
+    df = spark.createDataFrame([(k, [float(z) for z in v]) for k, v in rows], "user_id string, embeddings array<float>")
+    got = {(r.id, r.neighbour): round(r.similarity, 9) for r in knn.nearest(knn.usable(df, "user_id", "embeddings", 8), 8, 5, margin=2.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
 
 
 def test_estimates_hold_their_bounds():
     rng = np.random.default_rng(3)
     x = clusters(rng, 500, 64, 1, 0.4)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    codes = knn.Codes(x, x.mean(axis=0), knn.rotation(64))
-    est, bound = codes.estimate(x[:100])
-    off = np.abs(est - x[:100] @ x.T)
+    center, turn = np.repeat(x.mean(axis=0)[None], 500, axis=0), knn.rotation(64)
+    upper, bound = knn.estimates(*knn.asked(x[:100], center[:100], turn), *knn.coded(x, center, turn), 64)
+    off = np.abs(upper - bound - x[:100] @ x.T)
     assert (off <= bound).mean() > 0.95 and off.mean() < 0.05
 
 

@@ -1,29 +1,36 @@
 """The k most similar vectors of every vector, by randomly rotated one-bit codes.
 
 Centroids fitted on a bounded sample cut the space into cells; a vector is stored in its nearest cell
-and searches its ``probes`` nearest ones. In a cell a vector is kept as the signs of its rotated
-residual (one bit a dimension) and three scalars. Inner products are estimated from the packed bits and
-those scalars, with the error bound the rotation gives; a vector is reranked by its exact inner
-product only if its upper bound reaches the floor and the k-th best lower bound.
+and searches every cell whose centroid is not more than a margin farther than its nearest one. The margin is
+measured: exact neighbours of sample vectors, found against all rows, tell how wide it must be for the
+wanted recall, up to all cells where the data has no structure. In a cell a vector is the signs of
+its rotated residual, one packed bit a dimension, and four scalars, a searching one its residual in
+four bits; only these travel. Inner products are estimated from the packed bits and the scalars, with the
+error bound the rotation gives, and the vectors themselves are fetched once for each cell, to rerank the pairs
+whose upper bound reaches the floor and the k-th best lower bound.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from threadloom.runtime import Stage
 
+log = logging.getLogger(__name__)
+
 #: Rows the centroids are fitted on, at most.
 FIT_ROWS = 65_536
-CELL_ROWS = 1_500
+CELL_ROWS = 1_000
 MAX_CELLS = 4_096
-PROBES = 6
+#: Share of exact neighbours whose cell must be searched, and the sample vectors it is measured with.
+TARGET, SAMPLE = 0.995, 512
 #: Stored and searching rows that a task compares at once.
 STORED, SEARCHING = 4_096, 16_384
 #: Error bounds hold with about this many standard deviations.
@@ -31,19 +38,46 @@ EPSILON = 1.9
 QUERY_BITS = 4
 
 
+def _sortable(x: np.ndarray) -> np.ndarray:
+    """Floats as unsigned numbers, most significant byte first, that sort as they do."""
+    bits = np.dtype(f"u{x.itemsize}")
+    u, top = (x + 0.0).view(bits), bits.type(1 << (8 * x.itemsize - 1))
+    return (u ^ np.where(u & top, ~bits.type(0), top)).astype(bits.newbyteorder(">"))
+
+
+def _floats(column, dim: int) -> np.ndarray:
+    """Rows of a binary column from ``usable``, as float64 of unit length."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    raw = b"".join(flat.to_pylist())
+    size = len(raw) // dim // max(1, len(flat))
+    if not raw:
+        return np.zeros((0, dim))
+    bits = np.dtype(f"u{size}")
+    u, top = np.frombuffer(raw, bits.newbyteorder(">")).astype(bits), bits.type(1 << (8 * size - 1))
+    x = (u ^ np.where(u & top, top, ~bits.type(0))).view(f"f{size}").reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def usable(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id, v) of one row per non-null key whose vector has ``dim`` finite values, not all zero; v has unit length (array<double>).
+    """(id, v) of one row per non-null key whose vector has ``dim`` finite values, not all zero; v has the values' bytes in sortable form.
 
     Of differing vectors under one key the smallest in array order counts.
     """
-    v = F.col(vector).cast("array<double>")
-    good = rows.where(F.col(key).isNotNull() & (F.size(v) == dim)).select(F.col(key).cast("string").alias("id"), v.alias("v"))
-    # NaN and infinity fail the comparison in absolute value; null fails as well
-    finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    good = good.where(finite & F.exists("v", lambda x: x != 0))
-    one = good.groupBy("id").agg(F.min("v").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return one.withColumn("norm", norm).where("norm > 0").select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    kind = rows.schema[vector].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+
+    def pack(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            x = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float32 if single else np.float64).reshape(-1, dim)  # null elements come as NaN
+            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            packed = pa.array([r.tobytes() for r in _sortable(x[good])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), packed], names=["id", "v"])
+
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
+    full = rows.where(F.col(key).isNotNull() & (F.size(vector) == dim)).select(F.col(key).cast("string").alias("id"), v.alias("v"))
+    return full.mapInArrow(pack, "id string, v binary").groupBy("id").agg(F.min("v").alias("v"))
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -70,126 +104,241 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-class Codes:
-    """One-bit codes of ``x`` (rows of unit length) relative to ``center``."""
-
-    def __init__(self, x: np.ndarray, center: np.ndarray, turn: np.ndarray):
-        self.center, self.turn, self.dim = center, turn, x.shape[1]
-        rest = (x - center) @ turn.T
-        self.length = np.linalg.norm(rest, axis=1)
-        unit = rest / np.maximum(self.length, 1e-12)[:, None]
-        bits = np.packbits(unit > 0, axis=1, bitorder="little")
-        bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
-        self.words = np.ascontiguousarray(bits).view(np.uint64)
-        self.ones = np.bitwise_count(self.words).sum(axis=1).astype(np.float32)
-        self.along = np.maximum(np.abs(unit).sum(axis=1) / math.sqrt(self.dim), 1e-6)  # <code, vector>
-        self.spread = EPSILON * np.sqrt(np.maximum(1 - self.along**2, 0)) / self.along / math.sqrt(max(self.dim - 1, 1))
-        self.shift = x @ center - center @ center / 2
-
-    def estimate(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products of the rows of ``q`` with all coded vectors, and their error bounds."""
-        rest = (q - self.center) @ self.turn.T
-        length = np.linalg.norm(rest, axis=1)
-        unit = rest / np.maximum(length, 1e-12)[:, None]
-        low = unit.min(axis=1)
-        step = np.maximum((unit.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-12)
-        level = np.clip(np.rint((unit - low[:, None]) / step[:, None]), 0, 2**QUERY_BITS - 1).astype(np.uint8)
-        total = np.zeros((len(q), len(self.length)), np.uint16)
-        for b in range(QUERY_BITS):
-            plane = np.packbits((level >> b) & 1, axis=1, bitorder="little")
-            plane = np.ascontiguousarray(np.pad(plane, ((0, 0), (0, -plane.shape[1] % 8)))).view(np.uint64)
-            for w in range(self.words.shape[1]):
-                total += np.bitwise_count(plane[:, w, None] & self.words[None, :, w]).astype(np.uint16) << np.uint16(b)
-        root = math.sqrt(self.dim)
-        whole = low * self.dim + step * level.sum(axis=1)
-        dot = (2 * (low[:, None] * self.ones + step[:, None] * total) - whole[:, None]) / root
-        scale = length[:, None] * (self.length / self.along)[None, :]
-        shift = (q @ self.center - self.center @ self.center / 2)[:, None] + self.shift[None, :]
-        # the bound covers the code's error and the rounding of the query
-        bound = length[:, None] * (self.length * self.spread)[None, :] + scale * (step / 2 / root)[:, None] * 2
-        return dot.astype(np.float32) * scale.astype(np.float32) + shift, bound
-
-
-def _best(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, center: np.ndarray, turn: np.ndarray, k: int, floor: float):
-    """(row of q, row of x, inner product) of up to k best per row of q; rows of equal number are the same vector."""
-    codes = Codes(x, center, turn)
-    out = []
-    for a in range(0, len(q), 256):
-        part = q[a : a + 256]
-        est, bound = codes.estimate(part)
-        same = q_row[a : a + 256, None] == x_row[None, :]
-        upper = np.where(same, -2, est + bound)
-        need = np.full(len(part), floor)
-        many = np.flatnonzero((upper >= floor).sum(axis=1) > 4 * k)
+def _bits(on: np.ndarray) -> np.ndarray:
+    """Rows of booleans as 64-bit words."""
+    packed = np.packbits(on, axis=1, bitorder="little")
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+
+
+def coded(x: np.ndarray, center: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One-bit codes of ``x`` (rows of unit length, each with its row of ``center``), and their scalars: set bits, two of the error bound, shift."""
+    rest = (x - center) @ turn.T
+    length = np.linalg.norm(rest, axis=1)
+    unit = rest / np.maximum(length, 1e-12)[:, None]
+    words = _bits(unit > 0)
+    dim = x.shape[1]
+    along = np.maximum(np.abs(unit).sum(axis=1) / math.sqrt(dim), 1e-6)  # <code, vector>
+    spread = EPSILON * np.sqrt(np.maximum(1 - along**2, 0)) / along / math.sqrt(max(dim - 1, 1))
+    ones = np.bitwise_count(words).sum(axis=1)
+    shift = np.einsum("nd,nd->n", x, center) - np.einsum("nd,nd->n", center, center) / 2
+    return words, np.stack((ones, length / along, length * spread, shift), axis=1).astype(np.float32)
+
+
+def asked(q: np.ndarray, center: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit planes of the residuals of ``q`` in few bits, and their scalars: length, lowest value, step, sum of levels, shift."""
+    rest = (q - center) @ turn.T
+    length = np.linalg.norm(rest, axis=1)
+    unit = rest / np.maximum(length, 1e-12)[:, None]
+    low = unit.min(axis=1)
+    step = np.maximum((unit.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-12)
+    level = np.clip(np.rint((unit - low[:, None]) / step[:, None]), 0, 2**QUERY_BITS - 1).astype(np.uint8)
+    planes = np.concatenate([_bits((level >> b) & 1) for b in range(QUERY_BITS)], axis=1)
+    shift = np.einsum("nd,nd->n", q, center) - np.einsum("nd,nd->n", center, center) / 2
+    return planes, np.stack((length, low, step, level.sum(axis=1), shift), axis=1).astype(np.float32)
+
+
+def estimates(planes: np.ndarray, ask: np.ndarray, words: np.ndarray, held: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bounds of all inner products from bits and scalars, and the bounds' distance from the estimates."""
+    width = words.shape[1]
+    total = np.zeros((len(planes), len(words)), np.uint16)
+    both, count = np.empty(total.shape, np.uint64), np.empty(total.shape, np.uint8)
+    for b in range(QUERY_BITS):
+        for w in range(width):
+            np.bitwise_and(planes[:, b * width + w, None], words[None, :, w], out=both)
+            np.bitwise_count(both, out=count)
+            total += count.astype(np.uint16) << np.uint16(b) if b else count
+    ones, scale, reach, e = held.T
+    length, low, step, levels, d = ask.T
+    root = np.float32(math.sqrt(dim))
+    length = length / root
+    one_q, one_x = np.ones_like(low), np.ones_like(ones)
+    # everything but the counted bits is a sum of products of a searching and a stored scalar
+    flat = np.stack((2 * low * length, -(low * dim + step * levels) * length, d, one_q), axis=1) @ np.stack((ones * scale, scale, one_x, e))
+    bound = np.stack((length * root, length * step), axis=1) @ np.stack((reach, scale))
+    upper = total * (2 * step * length)[:, None]
+    upper *= scale[None, :]
+    upper += flat
+    upper += bound
+    return upper, bound
+
+
+def candidates(q_id, planes, ask, x_id, words, held, dim: int, k: int, floor: float):
+    """(row of q, row of x, lower, upper bound) of the pairs that may be among the k best of this block."""
+    for a in range(0, len(planes), 256):
+        upper, bound = estimates(planes[a : a + 256], ask[a : a + 256], words, held, dim)
+        # rows of equal number are the same vector
+        i, j = np.nonzero((upper >= floor) & (q_id[a : a + 256, None] != x_id[None, :]))
+        many = np.flatnonzero(np.bincount(i, minlength=len(upper)) > 2 * k)
         if len(many):
-            lower = np.where(same[many], -2, est[many] - bound[many])
+            lower = upper[many] - 2 * bound[many]
+            lower[q_id[a + many][:, None] == x_id[None, :]] = -2
+            need = np.full(len(upper), floor, np.float32)
             need[many] = np.maximum(floor, np.partition(lower, -k, axis=1)[:, -k])
-        i, j = np.nonzero(upper >= need[:, None])
-        if not len(i):
-            continue
-        exact = np.einsum("nd,nd->n", part[i], x[j])
-        keep = exact >= floor
-        i, j, exact = i[keep], j[keep], exact[keep]
-        order = np.lexsort((j, -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        if len(i):
-            first = np.concatenate(([True], i[1:] != i[:-1]))
-            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-            out.append((i[rank < k] + a, j[rank < k], exact[rank < k]))
-    if not out:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return tuple(np.concatenate(z) for z in zip(*out))
-
-
-def nearest(vectors: DataFrame, dim: int, k: int = 5, floor: float = -1.0, probes: int = PROBES) -> DataFrame:
+            keep = upper[i, j] >= need[i]
+            i, j = i[keep], j[keep]
+        up = upper[i, j]
+        yield i + a, j, up - 2 * bound[i, j], up
+
+
+def _margin(rows: DataFrame, middle, dim: int, k: int, floor: float) -> float:
+    """How much farther than the nearest centroid a neighbour's may be, for ``TARGET`` of the exact neighbours.
+
+    Neighbours of ``SAMPLE`` rows are found among all rows, a running k best for each task. Half of the sample
+    sets the margin, the other half says in the log what it does.
+    """
+    sample = rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(SAMPLE).select("rid", "v").toArrow()
+    if not len(sample):
+        return 0.0
+    q, q_id = _floats(sample.column("v"), dim), sample.column("rid").to_numpy()
+    ahead = (near := q @ middle.value.T).max(axis=1)[:, None] - near
+
+    def exact(batches):
+        best = np.full((len(q), k), -2.0), np.zeros((len(q), k))
+        for batch in batches:
+            x, x_id = _floats(batch.column(1), dim), batch.column(0).to_numpy()
+            sims = q @ x.T
+            sims[q_id[:, None] == x_id[None, :]] = -2
+            gap = ahead[:, np.argmax(x @ middle.value.T, axis=1)]
+            sims, gap = np.concatenate((best[0], sims), axis=1), np.concatenate((best[1], gap), axis=1)
+            top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            best = np.take_along_axis(sims, top, 1), np.take_along_axis(gap, top, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), k)), pa.array(best[0].ravel()), pa.array(best[1].ravel())], names=["q", "sim", "gap"])
+
+    found = rows.select("rid", "v").mapInArrow(exact, "q bigint, sim double, gap double").where(F.col("sim") >= max(floor, -1.5))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim")))
+    gaps = found.withColumn("r", rank).where(F.col("r") <= k).select("q", "gap").toPandas()  # at most SAMPLE * k rows
+    tune, held = (gaps["gap"][gaps["q"] % 2 == i].to_numpy() for i in (0, 1))
+    if not len(tune):
+        tune = held
+    if not len(tune):
+        return 0.0
+    margin = float(np.quantile(tune, TARGET, method="higher"))
+    log.info("cells within %.4f of the nearest hold %.4f of the exact neighbours of %d other vectors", margin, (held <= margin + 1e-9).mean() if len(held) else 1.0, SAMPLE // 2)
+    return margin
+
+
+def nearest(vectors: DataFrame, dim: int, k: int = 5, floor: float = -1.0, margin: float | None = None) -> DataFrame:
     """(id, neighbour, similarity) of up to k most similar other vectors with a cosine of ``floor`` or more.
 
-    ``vectors(id, v)`` has unit vectors, one per id (see ``usable``). Equal similarities rank by id. A single
-    vector, or none, has no neighbours. Every vector is indexed and every vector searches.
+    ``vectors(id, v)`` has one row per id (see ``usable``). Equal similarities rank by id. A single
+    vector, or none, has no neighbours. Every vector is indexed and every vector searches; copies of a
+    vector are searched once. With a ``margin`` of 2 all cells are searched.
     """
     stage = Stage(vectors.sparkSession, "knn")
     spark = vectors.sparkSession
-    rows = stage.put(vectors)
-    n = rows.count()
+    rows = stage.put(vectors.withColumn("h", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v")).withColumn("rid", F.monotonically_increasing_id()))
+    copies = stage.put(rows.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1"))
+    several = copies.limit(1).count()
+    one = rows.join(copies.select("h", "h2", "rep"), ["h", "h2"], "left").where("rep is null or rep = id").drop("rep", "h", "h2") if several else rows.drop("h", "h2")
+    if several:
+        one = stage.put(one)
+    n = one.count()
     cells = max(1, min(MAX_CELLS, n // CELL_ROWS))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(min(FIT_ROWS, 256 * cells)).select("v").toPandas()["v"]
+    sample = _floats(one.orderBy(F.xxhash64("id"), "id").limit(min(FIT_ROWS, 256 * cells)).select("v").toArrow().column("v"), dim)
     if not len(sample):
         return rows.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)
-    middle = spark.sparkContext.broadcast(centroids(np.stack(sample.to_numpy()).astype(np.float32), cells))  # at most MAX_CELLS rows
-    probes = min(probes, cells)
+    middle = spark.sparkContext.broadcast(centroids(sample.astype(np.float32), cells).astype(np.float64))  # at most MAX_CELLS rows
+    if margin is None:
+        margin = _margin(one, middle, dim, k, floor) if cells > 1 else 2.0
+    turn = rotation(dim)
+
+    def settle(batches):
+        for batch in batches:
+            home = np.argmax(_floats(batch.column(2), dim) @ middle.value.T, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *batch.columns], names=["cell", "rid", "id", "v"])
+
+    homes = stage.put(one.select("rid", "id", "v").mapInArrow(settle, "cell int, rid bigint, id string, v binary"))
 
     def spread(batches):
         for batch in batches:
-            v = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
-            near = v.astype(np.float32) @ middle.value.T
-            top = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1), 1)
-            take = pa.array(np.repeat(np.arange(len(v)), probes))
-            packed = pa.array([x.tobytes() for x in v], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(top.ravel().astype(np.int32)), pa.array(np.tile(np.arange(probes) == 0, len(v))), batch.column(0).take(take), packed.take(take)], names=["cell", "home", "id", "v"]
-            )
-
-    placed = stage.put(rows.mapInArrow(spread, "cell int, home boolean, id string, v binary"))
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("q"), F.count_if("home").alias("x"))  # at most MAX_CELLS rows
+            rid, x = batch.column(1).to_numpy(), _floats(batch.column(2), dim)
+            if not len(x):
+                continue
+            home = batch.column(0).to_numpy()
+            near = x @ middle.value.T
+            parts = [(home, rid, True, *coded(x, middle.value[home], turn))]
+            for a in range(0, len(x), 1024):
+                i, c = np.nonzero(near[a : a + 1024] >= near[a : a + 1024].max(axis=1, keepdims=True) - margin - 1e-9)
+                for b in range(0, len(i), 16_384):
+                    r, at = i[b : b + 16_384] + a, c[b : b + 16_384]
+                    parts.append((at, rid[r], False, *asked(x[r], middle.value[at], turn)))
+            for cell, who, stored, words, scalars in parts:
+                code = np.concatenate((words.view(np.uint8).reshape(len(words), -1), np.ascontiguousarray(scalars).view(np.uint8).reshape(len(words), -1)), axis=1)
+                packed = pa.array([r.tobytes() for r in code], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.full(len(who), stored)), pa.array(who), packed], names=["cell", "stored", "rid", "code"])
+
+    placed = stage.put(homes.select("cell", "rid", "v").mapInArrow(spread, "cell int, stored boolean, rid bigint, code binary"))
+    sizes = placed.groupBy("cell").agg(F.count_if(~F.col("stored")).alias("q"), F.count_if("stored").alias("x"))  # at most MAX_CELLS rows
     sizes = F.broadcast(sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("q") / SEARCHING)).cast("int").alias("qs"), F.greatest(F.lit(1), F.ceil(F.col("x") / STORED)).cast("int").alias("xs")))
-    salted = placed.join(sizes, "cell").withColumn("xb", F.pmod(F.xxhash64("id", F.lit(1)), "xs").cast("int")).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(2)), "qs").cast("int"))
-    searching = salted.withColumn("xb", F.explode(F.expr("sequence(0, xs - 1)"))).withColumn("as_x", F.lit(False))
-    stored = salted.where("home").withColumn("qb", F.explode(F.expr("sequence(0, qs - 1)"))).withColumn("as_x", F.lit(True))
-    blocks = searching.unionByName(stored).select("cell", "xb", "qb", "as_x", "id", "v")
-    turn = rotation(dim)
 
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        mat = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(-1, dim)
-        is_x, ids = pdf["as_x"].to_numpy(), pdf["id"].to_numpy()
-        number, _ = pd.factorize(ids)
-        q, x = np.flatnonzero(~is_x), np.flatnonzero(is_x)
-        x = x[np.argsort(ids[x])]
-        if not len(x) or not len(q):
-            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
-        i, j, s = _best(mat[q], number[q], mat[x], number[x], middle.value[key[0]].astype(np.float64), turn, k, floor)
-        return pd.DataFrame({"id": ids[q[i]], "neighbour": ids[x[j]], "similarity": s})
-
-    found = blocks.groupBy("cell", "xb", "qb").applyInPandas(search, "id string, neighbour string, similarity double")
+    def salted(df: DataFrame, name: str, of: str) -> DataFrame:
+        return df.withColumn(name, F.pmod(F.xxhash64("rid", F.lit(of)), of).cast("int"))
+
+    def each(df: DataFrame, name: str, of: str) -> DataFrame:
+        return df.withColumn(name, F.explode(F.expr(f"sequence(0, {of} - 1)")))
+
+    at = placed.join(sizes, "cell")
+    blocks = each(salted(at.where("stored"), "xb", "xs"), "qb", "qs").unionByName(each(salted(at.where("not stored"), "qb", "qs"), "xb", "xs")).drop("qs", "xs")
+    width = -(-dim // 64)
+
+    def search(key: tuple, table: pa.Table) -> pa.Table:
+        stored, rid = table.column("stored").to_numpy(), table.column("rid").to_numpy()
+        code = table.column("code").combine_chunks()
+        sides = []
+        for mine, words, scalars in ((~stored, QUERY_BITS * width, 5), (stored, width, 4)):
+            raw = np.frombuffer(b"".join(code.filter(pa.array(mine)).to_pylist()), np.uint8).reshape(-1, 8 * words + 4 * scalars)
+            sides += [rid[mine], np.ascontiguousarray(raw[:, : 8 * words]).view(np.uint64), np.ascontiguousarray(raw[:, 8 * words :]).view(np.float32)]
+        out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),) * 2]
+        if len(sides[0]) and len(sides[3]):
+            out += [(sides[0][i], sides[3][j], lo, up) for i, j, lo, up in candidates(*sides, dim, k, floor)]
+        q, x, lo, up = (np.concatenate(z) for z in zip(*out))
+        cell, xb, qb = (pa.array(np.full(len(q), v.as_py(), np.int32)) for v in key)
+        return pa.Table.from_arrays([cell, xb, qb, pa.array(q), pa.array(x), pa.array(lo), pa.array(up)], names=["cell", "xb", "qb", "q", "x", "lo", "up"])
+
+    maybe = blocks.groupBy("cell", "xb", "qb").applyInArrow(search, "cell int, xb int, qb int, q bigint, x bigint, lo float, up float")
+    # the k-th best lower bound over all blocks
+    sure = F.nth_value("lo", k).over(Window.partitionBy("q").orderBy(F.desc("lo")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    open_ = maybe.withColumn("sure", sure).where("sure is null or up >= sure").groupBy("q", "cell", "xb", "qb").agg(F.collect_list("x").alias("xs"))  # at most STORED each
+    asking = open_.join(homes.select(F.col("rid").alias("q"), F.col("id").alias("q_id"), F.col("v").alias("q_v")), "q").select("cell", "xb", "qb", "q_id", "q_v", "xs")
+    kept = each(salted(homes.join(sizes, "cell"), "xb", "xs"), "qb", "qs").select("cell", "xb", "qb", "rid", "id", "v")
+
+    def rerank(asks: pa.Table, held: pa.Table) -> pa.Table:
+        q, x = _floats(asks.column("q_v"), dim), _floats(held.column("v"), dim)
+        rid = held.column("rid").to_numpy()
+        order = np.argsort(rid)
+        lists = asks.column("xs").combine_chunks()
+        count = np.diff(np.asarray(lists.offsets))
+        i, j = np.repeat(np.arange(len(q)), count), order[np.searchsorted(rid, lists.flatten().to_numpy(), sorter=order)] if len(rid) else np.zeros(0, int)
+        sim = np.concatenate([np.einsum("nd,nd->n", q[i[a : a + 65_536]], x[j[a : a + 65_536]]) for a in range(0, max(1, len(j)), 65_536)])
+        names = held.column("id").to_numpy(zero_copy_only=False)
+        by_name = np.empty(len(names), np.int64)
+        by_name[np.argsort(names)] = np.arange(len(names))
+        best = np.lexsort((by_name[j], -sim, i))
+        best = best[sim[best] >= floor]
+        i, j, sim = i[best], j[best], sim[best]
+        first = np.concatenate(([True], i[1:] != i[:-1])) if len(i) else np.zeros(0, bool)
+        place = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0)) if len(i) else i
+        i, j, sim = i[place < k], j[place < k], sim[place < k]
+        return pa.Table.from_arrays([asks.column("q_id").take(pa.array(i)), pa.array(names[j], pa.string()), pa.array(sim)], names=["id", "neighbour", "similarity"])
+
+    by = ["cell", "xb", "qb"]
+    found = asking.groupBy(*by).cogroup(kept.groupBy(*by)).applyInArrow(rerank, "id string, neighbour string, similarity double")
+    if several:
+        found = _with_copies(stage.put(_top(found, k)), rows, copies, k, stage)
+    return _top(found, k)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
+def _with_copies(found: DataFrame, rows: DataFrame, copies: DataFrame, k: int, stage: Stage) -> DataFrame:
+    """Candidates of every id from those of its vector's representative: the first k + 1 copies stand for a neighbour, and for the vector itself."""
+    members = stage.put(rows.select("id", "h", "h2").join(copies, ["h", "h2"]).select("rep", "id"))
+    few = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("of"), F.col("id").alias("copy"))
+    wide = found.join(few, F.col("neighbour") == F.col("of"), "left").select("id", F.coalesce("copy", "neighbour").alias("neighbour"), "similarity")
+    wide = wide.unionByName(few.select(F.col("of").alias("id"), F.col("copy").alias("neighbour"), F.lit(1.0).alias("similarity")))
+    list_ = stage.put(_top(wide, k + 1))  # k + 1 rows for each vector, from which a member leaves itself out
+    own = list_.join(members.select(F.col("rep").alias("id"), F.col("id").alias("member")), "id", "left")
+    return own.select(F.coalesce("member", "id").alias("id"), "neighbour", "similarity").where("id <> neighbour")
