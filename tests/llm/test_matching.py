@@ -213,7 +213,8 @@ def test_estimates_hold_their_bounds():
     x = clusters(rng, 500, 64, 1, 0.4)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     center, turn = np.repeat(x.mean(axis=0)[None], 500, axis=0), knn.rotation(64)
-    upper, bound = knn.estimates(*knn.asked(x[:100], center[:100], turn), *knn.coded(x, center, turn), 64)
+    words, fine, held = knn.coded(x, center, turn)
+    upper, bound = knn.estimates(*knn.planes_of(*knn.asked(x[:100], center[:100], turn)), words, held, 64)
     off = np.abs(upper - bound - x[:100] @ x.T)
     assert (off <= bound).mean() > 0.95 and off.mean() < 0.05
 

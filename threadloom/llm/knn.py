@@ -4,10 +4,11 @@ Centroids fitted on a bounded sample cut the space into cells; a vector is store
 and searches every cell whose centroid is not more than a margin farther than its nearest one. The margin is
 measured: exact neighbours of sample vectors, found against all rows, tell how wide it must be for the
 wanted recall, up to all cells where the data has no structure. In a cell a vector is the signs of
-its rotated residual, one packed bit a dimension, and four scalars, a searching one its residual in
-four bits; only these travel. Inner products are estimated from the packed bits and the scalars, with the
-error bound the rotation gives, and the vectors themselves are fetched once for each cell, to rerank the pairs
-whose upper bound reaches the floor and the k-th best lower bound.
+its rotated residual, one packed bit a dimension, and a few scalars. Inner products with a searching
+vector's residual in four bits are estimated from the packed bits and the scalars, with the error bound the
+rotation gives; for pairs whose upper bound reaches the floor and the k-th best lower bound, residuals in
+eight bits narrow the bounds. Only codes and scalars travel; the vectors themselves are fetched once for
+each cell with pairs left, to rerank these exactly.
 """
 
 from __future__ import annotations
@@ -110,8 +111,19 @@ def _bits(on: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
 
 
-def coded(x: np.ndarray, center: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-bit codes of ``x`` (rows of unit length, each with its row of ``center``), and their scalars: set bits, two of the error bound, shift."""
+def _fine(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals in eight bits a dimension, the step, and the length of what the rounding lost."""
+    step = np.maximum(np.abs(rest).max(axis=1) / 127, 1e-30)
+    code = np.rint(rest / step[:, None]).astype(np.int8)
+    return code, step, np.linalg.norm(rest - code * step[:, None], axis=1)
+
+
+def _shift(x: np.ndarray, center: np.ndarray) -> np.ndarray:
+    return np.einsum("nd,nd->n", x, center) - np.einsum("nd,nd->n", center, center) / 2
+
+
+def coded(x: np.ndarray, center: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-bit codes of ``x`` (rows of unit length, each with its row of ``center``), their fine codes, and scalars: set bits, two of the error bound, shift; length, step and loss."""
     rest = (x - center) @ turn.T
     length = np.linalg.norm(rest, axis=1)
     unit = rest / np.maximum(length, 1e-12)[:, None]
@@ -119,22 +131,25 @@ def coded(x: np.ndarray, center: np.ndarray, turn: np.ndarray) -> tuple[np.ndarr
     dim = x.shape[1]
     along = np.maximum(np.abs(unit).sum(axis=1) / math.sqrt(dim), 1e-6)  # <code, vector>
     spread = EPSILON * np.sqrt(np.maximum(1 - along**2, 0)) / along / math.sqrt(max(dim - 1, 1))
-    ones = np.bitwise_count(words).sum(axis=1)
-    shift = np.einsum("nd,nd->n", x, center) - np.einsum("nd,nd->n", center, center) / 2
-    return words, np.stack((ones, length / along, length * spread, shift), axis=1).astype(np.float32)
+    fine, step, loss = _fine(rest)
+    return words, fine, np.stack((np.bitwise_count(words).sum(axis=1), length / along, length * spread, _shift(x, center), length, step, loss), axis=1).astype(np.float32)
 
 
 def asked(q: np.ndarray, center: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bit planes of the residuals of ``q`` in few bits, and their scalars: length, lowest value, step, sum of levels, shift."""
+    """Fine codes of the residuals of ``q``, and scalars: length, step, loss, shift."""
     rest = (q - center) @ turn.T
-    length = np.linalg.norm(rest, axis=1)
-    unit = rest / np.maximum(length, 1e-12)[:, None]
+    fine, step, loss = _fine(rest)
+    return fine, np.stack((np.linalg.norm(rest, axis=1), step, loss, _shift(q, center)), axis=1).astype(np.float32)
+
+
+def planes_of(fine: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit planes of searching residuals in few bits, and scalars: length, lowest value, step, sum of levels, shift, loss."""
+    length, step, loss, shift = ask.T
+    unit = fine * (step / np.maximum(length, 1e-12))[:, None]
     low = unit.min(axis=1)
     step = np.maximum((unit.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-12)
     level = np.clip(np.rint((unit - low[:, None]) / step[:, None]), 0, 2**QUERY_BITS - 1).astype(np.uint8)
-    planes = np.concatenate([_bits((level >> b) & 1) for b in range(QUERY_BITS)], axis=1)
-    shift = np.einsum("nd,nd->n", q, center) - np.einsum("nd,nd->n", center, center) / 2
-    return planes, np.stack((length, low, step, level.sum(axis=1), shift), axis=1).astype(np.float32)
+    return np.concatenate([_bits((level >> b) & 1) for b in range(QUERY_BITS)], axis=1), np.stack((length, low, step, level.sum(axis=1), shift, loss), axis=1).astype(np.float32)
 
 
 def estimates(planes: np.ndarray, ask: np.ndarray, words: np.ndarray, held: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +162,14 @@ def estimates(planes: np.ndarray, ask: np.ndarray, words: np.ndarray, held: np.n
             np.bitwise_and(planes[:, b * width + w, None], words[None, :, w], out=both)
             np.bitwise_count(both, out=count)
             total += count.astype(np.uint16) << np.uint16(b) if b else count
-    ones, scale, reach, e = held.T
-    length, low, step, levels, d = ask.T
+    ones, scale, reach, e, far = held.T[:5]
+    length, low, step, levels, d, loss = ask.T
     root = np.float32(math.sqrt(dim))
     length = length / root
     one_q, one_x = np.ones_like(low), np.ones_like(ones)
     # everything but the counted bits is a sum of products of a searching and a stored scalar
     flat = np.stack((2 * low * length, -(low * dim + step * levels) * length, d, one_q), axis=1) @ np.stack((ones * scale, scale, one_x, e))
-    bound = np.stack((length * root, length * step), axis=1) @ np.stack((reach, scale))
+    bound = np.stack((length * root, length * step, loss), axis=1) @ np.stack((reach, scale, far))
     upper = total * (2 * step * length)[:, None]
     upper *= scale[None, :]
     upper += flat
@@ -162,12 +177,17 @@ def estimates(planes: np.ndarray, ask: np.ndarray, words: np.ndarray, held: np.n
     return upper, bound
 
 
-def candidates(q_id, planes, ask, x_id, words, held, dim: int, k: int, floor: float):
-    """(row of q, row of x, lower, upper bound) of the pairs that may be among the k best of this block."""
-    for a in range(0, len(planes), 256):
-        upper, bound = estimates(planes[a : a + 256], ask[a : a + 256], words, held, dim)
+def candidates(q_id, fine_q, ask, x_id, words, fine_x, held, dim: int, k: int, floor: float):
+    """(row of q, row of x, lower, upper bound) of the pairs that may be among the k best of this block.
+
+    One-bit estimates choose pairs, whose bounds the fine codes then narrow.
+    """
+    scale_x, (e, far, step_x, loss_x) = fine_x * held[:, 5:6], held.T[3:]
+    for a in range(0, len(fine_q), 256):
+        part, own = slice(a, a + 256), ask[a : a + 256]
+        upper, bound = estimates(*planes_of(fine_q[part], own), words, held, dim)
         # rows of equal number are the same vector
-        i, j = np.nonzero((upper >= floor) & (q_id[a : a + 256, None] != x_id[None, :]))
+        i, j = np.nonzero((upper >= floor) & (q_id[part, None] != x_id[None, :]))
         many = np.flatnonzero(np.bincount(i, minlength=len(upper)) > 2 * k)
         if len(many):
             lower = upper[many] - 2 * bound[many]
@@ -176,8 +196,22 @@ def candidates(q_id, planes, ask, x_id, words, held, dim: int, k: int, floor: fl
             need[many] = np.maximum(floor, np.partition(lower, -k, axis=1)[:, -k])
             keep = upper[i, j] >= need[i]
             i, j = i[keep], j[keep]
-        up = upper[i, j]
-        yield i + a, j, up - 2 * bound[i, j], up
+        if not len(i):
+            continue
+        length, step_q, loss_q, d = own.T
+        scale_q = fine_q[part] * step_q[:, None]
+        dot = np.concatenate([np.einsum("nd,nd->n", scale_q[i[b : b + 65_536]], scale_x[j[b : b + 65_536]]) for b in range(0, len(i), 65_536)])
+        middle = dot + d[i] + e[j]
+        slack = length[i] * loss_x[j] + loss_q[i] * (far[j] + loss_x[j]) + 1e-5
+        low, up = middle - slack, middle + slack
+        order = np.lexsort((-low, i))
+        first = np.concatenate(([True], i[order][1:] != i[order][:-1]))
+        place = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+        need = np.full(len(upper), floor, np.float32)
+        kth = order[place == k - 1]
+        need[i[kth]] = np.maximum(floor, low[kth])
+        keep = up >= need[i]
+        yield i[keep] + a, j[keep], low[keep], up[keep]
 
 
 def _margin(rows: DataFrame, middle, dim: int, k: int, floor: float) -> float:
@@ -229,9 +263,7 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, floor: float = -1.0, margi
     rows = stage.put(vectors.withColumn("h", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v")).withColumn("rid", F.monotonically_increasing_id()))
     copies = stage.put(rows.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     several = copies.limit(1).count()
-    one = rows.join(copies.select("h", "h2", "rep"), ["h", "h2"], "left").where("rep is null or rep = id").drop("rep", "h", "h2") if several else rows.drop("h", "h2")
-    if several:
-        one = stage.put(one)
+    one = stage.put(rows.join(copies.select("h", "h2", "rep"), ["h", "h2"], "left").where("rep is null or rep = id").drop("rep", "h", "h2")) if several else rows.drop("h", "h2")
     n = one.count()
     cells = max(1, min(MAX_CELLS, n // CELL_ROWS))
     sample = _floats(one.orderBy(F.xxhash64("id"), "id").limit(min(FIT_ROWS, 256 * cells)).select("v").toArrow().column("v"), dim)
@@ -248,6 +280,8 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, floor: float = -1.0, margi
             yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *batch.columns], names=["cell", "rid", "id", "v"])
 
     homes = stage.put(one.select("rid", "id", "v").mapInArrow(settle, "cell int, rid bigint, id string, v binary"))
+    for old in (one, None if several else rows):
+        stage.drop(old)
 
     def spread(batches):
         for batch in batches:
@@ -256,14 +290,15 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, floor: float = -1.0, margi
                 continue
             home = batch.column(0).to_numpy()
             near = x @ middle.value.T
-            parts = [(home, rid, True, *coded(x, middle.value[home], turn))]
+            words, fine, scalars = coded(x, middle.value[home], turn)
+            parts = [(home, rid, True, words, fine, scalars)]
             for a in range(0, len(x), 1024):
                 i, c = np.nonzero(near[a : a + 1024] >= near[a : a + 1024].max(axis=1, keepdims=True) - margin - 1e-9)
                 for b in range(0, len(i), 16_384):
                     r, at = i[b : b + 16_384] + a, c[b : b + 16_384]
                     parts.append((at, rid[r], False, *asked(x[r], middle.value[at], turn)))
-            for cell, who, stored, words, scalars in parts:
-                code = np.concatenate((words.view(np.uint8).reshape(len(words), -1), np.ascontiguousarray(scalars).view(np.uint8).reshape(len(words), -1)), axis=1)
+            for cell, who, stored, *code in parts:
+                code = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(who), -1) for c in code], axis=1)
                 packed = pa.array([r.tobytes() for r in code], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.full(len(who), stored)), pa.array(who), packed], names=["cell", "stored", "rid", "code"])
 
@@ -285,9 +320,10 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, floor: float = -1.0, margi
         stored, rid = table.column("stored").to_numpy(), table.column("rid").to_numpy()
         code = table.column("code").combine_chunks()
         sides = []
-        for mine, words, scalars in ((~stored, QUERY_BITS * width, 5), (stored, width, 4)):
-            raw = np.frombuffer(b"".join(code.filter(pa.array(mine)).to_pylist()), np.uint8).reshape(-1, 8 * words + 4 * scalars)
-            sides += [rid[mine], np.ascontiguousarray(raw[:, : 8 * words]).view(np.uint64), np.ascontiguousarray(raw[:, 8 * words :]).view(np.float32)]
+        for mine, kinds in ((~stored, ((dim, np.int8), (16, np.float32))), (stored, ((8 * width, np.uint64), (dim, np.int8), (28, np.float32)))):
+            raw = np.frombuffer(b"".join(code.filter(pa.array(mine)).to_pylist()), np.uint8).reshape(-1, sum(n for n, _ in kinds))
+            ends = np.cumsum([n for n, _ in kinds])
+            sides += [rid[mine], *[np.ascontiguousarray(raw[:, end - n : end]).view(kind) for end, (n, kind) in zip(ends, kinds)]]
         out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),) * 2]
         if len(sides[0]) and len(sides[3]):
             out += [(sides[0][i], sides[3][j], lo, up) for i, j, lo, up in candidates(*sides, dim, k, floor)]
