@@ -22,6 +22,8 @@ SAME = [
     ("각", "각"),
     ("ﬁlm", "film"),
     ("a‍b", "ab"),
+    ("BMA CoC WIG", "ꓐꓟꓮ ⲤⲟⲤ ᏔᏆᏳ"),
+    ("ovw-1", "ᴏᴠᴡ−1"),
 ]
 DIFFERENT = [("cafe", "café"), ("O0", "OO"), ("rn", "m"), ("Kopi", "kopi"), ("👨‍👩‍👧", "👨👩👧"), ("می‌خواهم", "میخواهم"), ("x²", "x2"), ("a  b", "a b")]
 
@@ -53,6 +55,7 @@ def test_pairs_against_brute_force(spark):
     got = {tuple(r) for r in lookalikes.equal_looking_pairs(df, "pos", ["text", "username"]).collect()}
     assert got == {("text", 1, 2), ("text", 1, 3), ("text", 2, 3), ("text", 2, 4), ("text", 3, 4), ("username", 2, 3), ("username", 3, 4)}
     assert lookalikes.equal_looking_pairs(df.limit(0), "pos", ["text", "username"]).count() == 0
+    assert {tuple(r) for r in lookalikes.look_classes(df, ["text", "username"]).collect()} == {("text", "lucu", 3, 4), ("username", "a.b", 2, 3)}
     out = {r.pos: r.text for r in lookalikes.with_canonical(df, ["text", "username"]).collect()}
     assert out[3] == "lucu" and out[5] == "" and out[6] is None and len(out) == 8
 

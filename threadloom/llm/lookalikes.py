@@ -31,11 +31,18 @@ LOOKALIKES = {
     "Χ": "X", "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
     # Armenian
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L",
-    # Latin outside ASCII, and letters of Cherokee and Roman numerals
-    "ɡ": "g", "ɑ": "a", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M",
+    # Coptic
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "Ⲍ": "Z",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R",
+    "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Latin outside ASCII: small capitals that are the small letters, and others
+    "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ᴜ": "u",
+    # Cherokee
+    "ɡ": "g", "ɑ": "a", "Ꭱ": "R", "Ꮍ": "Y", "Ꮒ": "h", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮴ": "V", "Ꮷ": "d", "Ꮖ": "I", "Ᏻ": "G", "Ꮳ": "G", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M",
     "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
-    # hyphens
-    "‐": "-", "‑": "-",
+    # hyphens, the minus sign and the letter apostrophe, which is drawn as the closing quotation mark
+    "‐": "-", "‑": "-", "−": "-", "ʼ": "’",
 }
 
 # Characters that draw nothing and change nothing around them.
@@ -216,3 +223,12 @@ def equal_looking_pairs(rows: DataFrame, key: str, columns: list[str]) -> DataFr
     a = hits.select("field", "canon", F.col("value").alias("va"), F.col("pos").alias("pos_a"))
     b = hits.select("field", "canon", F.col("value").alias("vb"), F.col("pos").alias("pos_b"))
     return a.join(b, ["field", "canon"]).where("pos_a < pos_b and va <> vb").select("field", "pos_a", "pos_b")
+
+
+def look_classes(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, look, n_spellings, n_rows) of each look that at least two different non-empty values share: the pairs' classes, one row each."""
+    stage = Stage(rows.sparkSession, "looks")
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns])).alias("x")).select("x.field", "x.value").where("value is not null and value <> ''")
+    spelled = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    looks = spelled.join(canonical_forms(long, stage), "value", "left").groupBy("field", F.coalesce("canon", "value").alias("look"))
+    return looks.agg(F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_rows")).where("n_spellings > 1")

@@ -26,6 +26,10 @@ def p1_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.with_canonical(rows, ["text", "username"])
 
 
+def p1_looks(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.look_classes(_table(spark, d, "comments"), ["text", "username"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     edges, comps = _table(spark, d, "edges"), _table(spark, d, "graph_1000_components")
     stars = groups.star_links(comps, "component_id", "node_id")
@@ -82,7 +86,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p4_found, p6_found, p7_found, p7_redacted, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p1_looks, p3_found, p4_found, p6_found, p7_found, p7_redacted, p8_ids, p9_containers, p10_found)}
 
 
 _P3 = """

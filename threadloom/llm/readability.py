@@ -168,8 +168,10 @@ def reading_levels(documents: DataFrame, grades: DataFrame, fit_rows: int = FIT_
     """
     stage = Stage(documents.sparkSession, "readability")
     x = stage.put(features(documents))
-    graded = x.join(grades.where("level is not null").select("doc_id", F.col("level").cast("int").alias("level")), "doc_id")
-    sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "level").limit(fit_rows).select("x", "level").toPandas()
+    graded = grades.where("level is not null").select("doc_id", F.col("level").cast("int").alias("level")).join(x.select("doc_id"), "doc_id", "left_semi")
+    # ids are chosen before any feature is joined: at most fit_rows rows are broadcast and come to the driver
+    chosen = stage.put(graded.orderBy(F.xxhash64("doc_id"), "doc_id", "level").limit(fit_rows))
+    sample = x.join(F.broadcast(chosen), "doc_id").select("x", "level").toPandas()
     if not len(sample):
         return x.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("level"))
     model = fit(np.stack(sample["x"].to_numpy()), sample["level"].to_numpy())
