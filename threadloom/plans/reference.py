@@ -160,7 +160,9 @@ def nested_json_flatten(spark, d):
     return _table(spark, d, "comments").where("raw is not null").select("pos", F.size(leaves).cast("long").alias("n_leaves"), F.try_element_at(leaves, F.lit(1)).alias("first_leaf"))
 
 
-@query()
+@query("""with e as (select *, lag(event_id) over (partition by event_type, date_trunc('hour', ts) order by ts, event_id) parent from events), n as (select greatest(1, count(*)) n from documents)
+select event_id pos, event_id::varchar comment_id, e.user_id::varchar user_id, 'u' || e.user_id username, text, floor(epoch(ts))::bigint "timestamp", floor(value)::bigint likes, case when parent is not null then '{"parent_id":"' || parent || '"}' end raw
+from e cross join n left join documents on doc_id = event_id % n""")
 def event_comments(spark, d):
     return from_events(_table(spark, d, "events"), _table(spark, d, "documents"))
 
@@ -262,6 +264,10 @@ def normalized_tokens(spark, d):
     return _table(spark, d, "documents").select("doc_id", text.normalized(F.col("text")).alias("clean"))
 
 
+_DOC_TEXT = "src_t as (select doc_id::varchar doc, text from documents where text is not null)"
+_USER_TEXT = "src_t as (select user_id doc, text from comments where user_id is not null and user_id <> '' and text is not null)"
+
+
 def _simple_rows(df: DataFrame, key: str, col: str) -> DataFrame:
     """Rows for TF-IDF by plain tokens, which SQL can make as well."""
     stops = text.stop_words()
@@ -292,20 +298,32 @@ def _user_weights(spark, d) -> DataFrame:
     return tfidf.unigram_weights(_simple_rows(_table(spark, d, "comments").where("user_id is not null and user_id <> '' and text is not null"), "user_id", "text"))
 
 
-_DOC_TEXT = "src_t as (select doc_id::varchar doc, text from documents where text is not null)"
-_USER_TEXT = "src_t as (select user_id doc, text from comments where user_id is not null and user_id <> '' and text is not null)"
-
-
 @query(f"with {_DOC_TEXT}, {_tfidf_sql('src_t')} select doc, term, round(w, 6) w from weights")
 def tfidf_weights(spark, d):
     return _doc_weights(spark, d).select("doc", "term", _r("w"))
 
 
-@query()
+def _grid_sql(n_max: int = 3) -> str:
+    def option(top: int, low: str, when: str) -> str:
+        return f"select {top} ngram_max, {low} min_df, coalesce(sum(df), 0)::bigint entries, count(*) features from (select df from terms, n_d where n <= {top} and df >= {low} and df <= case when nd < 30 then 1.0 else 0.95 end * nd order by total desc, term limit 20000) where (select {when} from n_d)"
+
+    options = " union all ".join(option(top, low, when) for top in (3, 2, 1) for low, when in (("1", "true"), ("2", "nd >= 30")))
+    return f"""
+raw_t as (select doc, unnest(t) t, unnest(range(len(t))) i from (select doc, regexp_extract_all(lower(text), '[a-z0-9_]+') t from src_t)),
+lem_d as (select t, {_lemma_sql('t')} term from (select distinct t from raw_t)),
+kept as (select doc, term, row_number() over (partition by doc order by i) i from raw_t join lem_d using (t) where length(term) >= 2 and term not in {_STOPS}),
+toks as (select doc, i, term a, lead(term, 1) over w b, lead(term, 2) over w c from kept window w as (partition by doc order by i)),
+grams as (select doc, 1 n, a term from toks union all select doc, 2, a || ' ' || b from toks where b is not null union all select doc, 3, a || ' ' || b || ' ' || c from toks where c is not null),
+terms as (select term, n, count(distinct doc) df, count(*) total from grams group by 1, 2), n_d as (select count(distinct doc) nd from grams), opt as ({options})
+select *, row_number() over (order by entries desc, features desc, ngram_max desc, min_df) = 1 chosen from opt"""
+
+
+@query(f"with {_DOC_TEXT}, {_grid_sql()}")
 def tfidf_grid_choice(spark, d):
-    fitted = tfidf.fit(tfidf.token_rows(_table(spark, d, "documents").where("text is not null").withColumn("_p", F.lit(0)), "doc_id", "_p", "text"))
-    rows = [(n, low, e, f, n == fitted.ngram_max and low == fitted.min_df) for n, low, e, f in fitted.grid]
-    return spark.createDataFrame(rows, "ngram_max int, min_df int, entries bigint, features bigint, chosen boolean")
+    rows = _simple_rows(_table(spark, d, "documents").where("text is not null"), "doc_id", "text").withColumn("pos", F.lit(0).cast("long"))
+    fitted = tfidf.fit(rows.select("doc", "pos", "toks"))
+    out = [(n, low, e, f, n == fitted.ngram_max and low == fitted.min_df) for n, low, e, f in fitted.grid]
+    return spark.createDataFrame(out, "ngram_max int, min_df int, entries bigint, features bigint, chosen boolean")
 
 
 def _vectors(weights: DataFrame, stage: Stage) -> tuple[DataFrame, int]:
@@ -375,17 +393,29 @@ def svd_embeddings(spark, d):
 
 
 def _canopies(spark, d) -> canopy.Canopies:
-    v = _stage(spark).put(_embeddings(spark, d))
-    order = v.select("id", F.col("id").cast("long").alias("ord"))
+    stage = _stage(spark)
+    usable = vectors.unit(_table(spark, d, "canopy_artifacts").where(F.size("embeddings") == 64), "user_id", "embeddings")
+    v = stage.put(usable.groupBy("id").agg(F.min("v").alias("v")))
+    order = ranking.global_rank(v.select("id"), ["id"], stage, "ord")
     return canopy.from_pairs(order, vectors.cosine_pairs(v, 0.6), 0.6, 0.8)
 
 
-@query()
+_CANOPY = """with recursive raw_v as (select user_id id, sqrt(list_sum(list_transform(embeddings, lambda y: y::double * y::double))) l, embeddings v from canopy_artifacts where user_id is not null and len(embeddings) = 64),
+e as (select id, min(list_transform(v, lambda x: x::double / l)) v from raw_v where l > 0 and not isnan(l) group by 1),
+o as (select id, row_number() over (order by id) - 1 ord, v from e),
+near as (select a.ord, b.ord other, list_inner_product(a.v, b.v) w from o a join o b on a.ord <> b.ord),
+gone as (select o.ord, list(other) filter (where w >= 0.8) lst from o left join near using (ord) group by 1), every as (select list(ord order by ord) all_ from o),
+piv as (select ord, lst gone, 0 k from gone where ord = (select min(ord) from o)
+        union all select g.ord, list_concat(p.gone, g.lst), p.k + 1 from (select piv.*, list_filter(all_, lambda x: x > piv.ord and not list_contains(coalesce(gone, []), x))[1] nxt from piv, every) p join gone g on g.ord = p.nxt),
+mem as (select k, ord from piv union select k, other from piv join near using (ord) where w >= 0.6)"""
+
+
+@query(f"{_CANOPY} select id user_id, 'canopy_' || lpad(min(k)::varchar, 3, '0') canopy from mem join o using (ord) group by 1")
 def canopy_assignments(spark, d):
     return _canopies(spark, d).assignment
 
 
-@query()
+@query(f"{_CANOPY} select 'canopy_' || lpad(k::varchar, 3, '0') canopy, id user_id from mem join o using (ord)")
 def canopy_members(spark, d):
     return _canopies(spark, d).members
 
@@ -429,18 +459,27 @@ def component_summary(spark, d):
     return pipeline.component_summary(comps).select("component_id", "component_size", "node_ids")
 
 
-@query()
+_FOREST = f"""{_COMP}, rk as (select *, row_number() over (order by w desc, src desc, dst desc) r from e),
+both_r as (select r, src u, dst v from rk union all select r, dst, src from rk),
+walk as (select r id, src cur from rk union select walk.id, v from walk join both_r on u = cur and r < walk.id),
+forest as (select src, dst, w from rk where not exists (select 1 from walk where id = r and cur = dst)),
+cuts as (select label, list_sort(list(w))[count(*) // 2 + 1] threshold, count(*) tree_edges from forest join comp on id = src group by 1)"""
+_FOREST_CLUSTERS = """strong as (select src, dst from e join comp on id = src join cuts using (label) where w >= threshold), sym2 as (select src u, dst v from strong union all select dst, src from strong),
+reach2 as (select id, id lab from n union select s.v, r.lab from reach2 r join sym2 s on s.u = r.id), fclu as (select min(lab) cluster_id, id user_id from reach2 group by 2)"""
+
+
+@query(f"with recursive {_EDGE}, {_NODE}, {_FOREST} select src, dst, w from forest")
 def mst_forest(spark, d):
     return mst.forest(_edges(spark, d))
 
 
-@query()
+@query(f"with recursive {_EDGE}, {_NODE}, {_FOREST} select label, threshold, tree_edges from cuts")
 def mst_weights_summary(spark, d):
     comps = components.connected_components(_nodes(spark, d), _as_links(_edges(spark, d)))
     return mst.median_cuts(mst.forest(_edges(spark, d)), comps)
 
 
-@query()
+@query(f"with recursive {_EDGE}, {_NODE}, {_FOREST}, {_FOREST_CLUSTERS} select cluster_id, user_id from fclu")
 def mst_clusters(spark, d):
     return mst.clusters(_nodes(spark, d), _edges(spark, d))
 
@@ -471,8 +510,11 @@ def edge_quantiles(spark, d):
 
 @query("with s as (select canopy, list_sort(list(total_likes)) l from graph_100_nodes where total_likes is not null group by 1) select canopy, l[floor((len(l) - 1) * 0.8)::int + 1] p80 from s")
 def floor_quantiles(spark, d):
-    g = _table(spark, d, "graph_100_nodes").groupBy("canopy").agg(F.collect_list("total_likes").alias("l"))
-    return g.where(F.size("l") > 0).select("canopy", scores.floor_quantile(F.col("l"), 0.8).alias("p80"))
+    g = _table(spark, d, "graph_100_nodes").where("total_likes is not null").groupBy("canopy", "total_likes").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("canopy").orderBy("total_likes"))
+    n = F.sum("c").over(Window.partitionBy("canopy"))
+    at = F.floor((F.col("n") - 1) * 0.8)
+    return g.withColumn("upto", upto).withColumn("n", n).where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select("canopy", F.col("total_likes").alias("p80"))
 
 
 # --- scores for given clusters ---------------------------------------------------------------------
@@ -577,11 +619,51 @@ def node_scores(spark, d):
     return scoring.node_scores(g.clusters, g.edges, g.summary, g.stats()).select("user_id", "cluster_id", _r("strength"), _r("prominence"), _r("score"))
 
 
-@query(f"{_STATS}, {_NODE_SQL} select user_id, ns.cluster_id, round(ns.score, 6) score, coalesce(nullif(username, ''), user_id) username from ns join sus using (cluster_id) join summ using (user_id) where is_suspicious")
+# all five signals over clusters of the spanning forest; whether an account is new comes from a rule both engines share: its last digit
+_FULL = f"""{_BASE.replace("with ", "with recursive ", 1)} {_SUMMARY}, {_FUSED.replace("fused as", "fused_raw as")}, fused as (select src, dst, round(w, 9) w from fused_raw),
+e as (select * from fused), n as (select user_id id from summ), {_FOREST}, {_FOREST_CLUSTERS}, clu as (select * from fclu), inn as (select a.cluster_id, e.* from fused e join clu a on a.user_id = e.src join clu b on b.user_id = e.dst where a.cluster_id = b.cluster_id),
+{_DENS}, {_TEMP}, {_FREQ}, {_USER_TEXT}, {_tfidf_sql('src_t')}, att_w as (select cluster_id, doc, term, w from weights join clu on user_id = doc),
+own_w as (select cluster_id, sum(w * w) o, count(distinct doc) nt from att_w group by 1), wh_w as (select cluster_id, sum(s * s) q from (select cluster_id, term, sum(w) s from att_w group by 1, 2) group by 1),
+rep as (select cluster_id, case when nt >= 2 then {_CLAMP.format("(q - o) / (nt * (nt - 1.0))")} else 0 end rp from own_w join wh_w using (cluster_id)),
+age as (select cluster_id, avg(case when right(user_id, 1) > '2' then right(user_id, 1)::int % 2 end) av, count(*) filter (where right(user_id, 1) > '2') / count(*) cov from clu group by 1),
+st as (select dens.*, temporal_burst, high_frequency, coalesce(rp, 0) content_repetition, case when cluster_size > 1 then av end account_age, case when cluster_size > 1 then cov else 0 end account_age_coverage,
+    case when cluster_size > 1 then (0.25 * cluster_density + 0.25 * coalesce(rp, 0) + 0.2 * temporal_burst + 0.15 * coalesce(av, 0) + 0.15 * high_frequency) / (case when av is null then 0.85 else 1 end) else 0 end score
+    from dens join temp using (cluster_id) join freq using (cluster_id) join age using (cluster_id) left join rep using (cluster_id)),
+cut as (select greatest(0.5, quantile_cont(score, 0.8)) c from st where score > 0), top1 as (select cluster_id, score from st order by score desc, cluster_id limit 1),
+sus as (select st.*, case when exists (select 1 from st, cut where score >= c) then score >= c else st.cluster_id = (select cluster_id from top1) and (select score from top1) >= 0.35 end is_suspicious from st, cut)"""
+_FULL_REASONS = "array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"{{'v': -coalesce({k}, 0)::double, 'i': {i}, 'l': '{v}'}}" for i, (k, v) in enumerate(scoring.REASONS.items())) + "], lambda r: r.v <= -0.45))[1:3], lambda r: r.l), '|')"
+
+
+class _Forest(_Graph):
+    """The graph with clusters of its spanning forest, content weights and new-account signals."""
+
+    def __init__(self, spark, d):
+        super().__init__(spark, d)
+        digit = F.substring("user_id", -1, 1)
+        self.summary = self.summary.withColumn("new_account_signal", F.when(digit > "2", digit.cast("int") % 2).cast("double"))
+        self.edges = self.stage.put(self.edges.select("src", "dst", _r("w", 9)))
+        self.clusters = self.stage.put(mst.clusters(self.summary.select(F.col("user_id").alias("id")), self.edges))
+        self.weights = _user_weights(spark, d)
+
+    def stats(self) -> DataFrame:
+        return self.stage.put(scoring.suspicion(scoring.cluster_stats(self.clusters, self.edges, self.summary, self.weights))[0])
+
+
+@query(f"""{_FULL} select cluster_id, cluster_size, round(cluster_density, 6) cluster_density, round(content_repetition, 6) content_repetition, round(temporal_burst, 6) temporal_burst, round(high_frequency, 6) high_frequency, round(account_age, 6) account_age,
+round(account_age_coverage, 6) account_age_coverage, round(score, 6) score, case when cluster_size > 1 then {_FULL_REASONS} else '' end reasons, is_suspicious from sus""")
+def forest_cluster_scores(spark, d):
+    signals = [_r(c) for c in ("cluster_density", "content_repetition", "temporal_burst", "high_frequency", "account_age", "account_age_coverage", "score")]
+    return _Forest(spark, d).stats().select("cluster_id", "cluster_size", *signals, F.array_join("reasons", "|").alias("reasons"), "is_suspicious")
+
+
+@query(f"""{_FULL}, {_NODE_SQL}, deg as (select u, count(*) degree, sum(w) strength from (select src u, w from fused union all select dst, w from fused) group by 1)
+select ns.user_id, ns.cluster_id, round(ns.score, 6) score, round(ns.prominence, 6) node_prominence, coalesce(nullif(username, ''), ns.user_id) username, coalesce(degree, 0) degree, round(coalesce(deg.strength, 0), 6) strength, round(sus.content_repetition, 6) content_repetition, round(account_age, 6) account_age_ratio
+from ns join sus using (cluster_id) join summ using (user_id) left join deg on u = ns.user_id where is_suspicious""")
 def suspicious_users(spark, d):
-    g = _Graph(spark, d)
-    stats = g.stage.put(scoring.suspicion(g.stats())[0])
-    return scoring.suspicious_details(g.clusters, g.edges, g.summary, stats, scoring.node_scores(g.clusters, g.edges, g.summary, stats), None).select("user_id", "cluster_id", _r("score"), "username")
+    g = _Forest(spark, d)
+    stats = g.stats()
+    out = scoring.suspicious_details(g.clusters, g.edges, g.summary, stats, scoring.node_scores(g.clusters, g.edges, g.summary, stats), None)
+    return out.select("user_id", "cluster_id", _r("score"), _r("node_prominence"), "username", "degree", _r("strength"), _r("content_repetition"), _r("account_age_ratio"))
 
 
 @query(f"""{_GRAPH} sy as (select src u, dst v, w from fused union all select dst, src, w from fused),
@@ -646,7 +728,11 @@ def page_ids(spark, d):
     return _table(spark, d, "snapshots").select("video_id", urls.video_id(u).alias("found_id"), urls.host(u).alias("host"), urls.username(u).alias("username"))
 
 
-@query()
+_UNQUOTED = "replace(replace(case when regexp_matches(coalesce(text, ''), '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') then coalesce(text, '') else url_decode(replace(coalesce(text, ''), '+', '%2B')) end, chr(92) || 'u002F', '/'), chr(92) || '/', '/')"
+_IN_PAGE = "coalesce(" + ", ".join(f"nullif(regexp_extract(t, '{x.replace(chr(39), chr(39) * 2)}', 1), '')" for x in urls.IN_PAGE) + ", '')"
+
+
+@query(f"with p as (select doc_id, {_UNQUOTED} t from documents) select doc_id, {_IN_PAGE} found_id from p")
 def ids_in_text(spark, d):
     return _table(spark, d, "documents").select("doc_id", urls.video_id_in_page(F.col("text")).alias("found_id"))
 
