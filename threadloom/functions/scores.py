@@ -30,8 +30,3 @@ def distance(weight: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Shared by all distinct elements of two arrays; 0 if both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
-
-
-def floor_quantile(values: Column, q: float) -> Column:
-    """Element at the floored index of the sorted array, as a dashboard shows it; null if empty."""
-    return F.try_element_at(F.sort_array(values), (F.floor((F.size(values) - 1) * q) + 1).cast("int"))

@@ -65,9 +65,11 @@ def from_pairs(items: DataFrame, pairs: DataFrame, t1: float, t2: float) -> Cano
         gone = stage.put(close.join(new.select(F.col("ord").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("ord")).distinct())
         rest = stage.put(open_.join(new, "ord", "left_anti").join(gone, "ord", "left_anti"))
         # what is decided holds nobody back any more
-        live = rest.select(F.col("ord").alias("o"))
+        live, old = rest.select(F.col("ord").alias("o")), (open_, close, gone)
         close = stage.put(close.join(live, F.col("lo") == F.col("o"), "left_semi").join(live, F.col("hi") == F.col("o"), "left_semi"))
         open_ = rest
+        for table in old:
+            stage.drop(table)
     if pivots is None:
         none = items.select(F.col("id").alias("user_id"), F.lit("").alias("canopy"))
         return Canopies(none, none.select("canopy", "user_id"), t1, t2)

@@ -55,3 +55,14 @@ def quantiles(df: DataFrame, column: str, qs: list[float], stage: Stage) -> list
         a, b = at[math.floor(h)], at[math.ceil(h)]
         out.append(a + (b - a) * (h - math.floor(h)))
     return out
+
+
+def floor_quantile(df: DataFrame, group: str, column: str, q: float, name: str) -> DataFrame:
+    """(group, name): the value at the floored index of each group's sorted non-null values, as a dashboard shows it.
+
+    Equal values are counted before they are put in order, so no group's rows come together.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(group, column).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(group).orderBy(column))).withColumn("_n", F.sum("_c").over(Window.partitionBy(group)))
+    at = F.floor((F.col("_n") - 1) * q)
+    return ranked.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at)).select(group, F.col(column).alias(name))

@@ -242,15 +242,19 @@ class Job:
 
 
 class Runs:
-    """Analyses in the background of the driver, with their progress."""
+    """Analyses in the background of the driver, with their progress. The last ``keep`` finished ones are remembered."""
 
-    def __init__(self):
+    def __init__(self, keep: int = 20):
+        self.keep = keep
         self._jobs: dict[str, Job] = {}
         self._lock = threading.Lock()
 
     def start(self, comments: DataFrame, params: Params | None = None) -> str:
         job = Job(uuid.uuid4().hex)
         with self._lock:
+            ended = [k for k, j in self._jobs.items() if j.status in ("done", "failed")]
+            for k in ended[: max(0, len(ended) - self.keep + 1)]:
+                del self._jobs[k]
             self._jobs[job.id] = job
 
         def report(stage: str, share: float) -> None:

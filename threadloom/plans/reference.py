@@ -468,9 +468,9 @@ _FOREST_CLUSTERS = """strong as (select src, dst from e join comp on id = src jo
 reach2 as (select id, id lab from n union select s.v, r.lab from reach2 r join sym2 s on s.u = r.id), fclu as (select min(lab) cluster_id, id user_id from reach2 group by 2)"""
 
 
-@query(f"with recursive {_EDGE}, {_NODE}, {_FOREST} select src, dst, w from forest")
+@query(f"with recursive {_EDGE}, {_NODE}, {_FOREST} select src, dst, w, round(1 / (w + 1e-9), 6) distance from forest")
 def mst_forest(spark, d):
-    return mst.forest(_edges(spark, d))
+    return mst.forest(_edges(spark, d)).withColumn("distance", F.round(scores.distance(F.col("w")), 6))
 
 
 @query(f"with recursive {_EDGE}, {_NODE}, {_FOREST} select label, threshold, tree_edges from cuts")
@@ -510,11 +510,7 @@ def edge_quantiles(spark, d):
 
 @query("with s as (select canopy, list_sort(list(total_likes)) l from graph_100_nodes where total_likes is not null group by 1) select canopy, l[floor((len(l) - 1) * 0.8)::int + 1] p80 from s")
 def floor_quantiles(spark, d):
-    g = _table(spark, d, "graph_100_nodes").where("total_likes is not null").groupBy("canopy", "total_likes").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("canopy").orderBy("total_likes"))
-    n = F.sum("c").over(Window.partitionBy("canopy"))
-    at = F.floor((F.col("n") - 1) * 0.8)
-    return g.withColumn("upto", upto).withColumn("n", n).where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select("canopy", F.col("total_likes").alias("p80"))
+    return ranking.floor_quantile(_table(spark, d, "graph_100_nodes"), "canopy", "total_likes", 0.8, "p80")
 
 
 # --- scores for given clusters ---------------------------------------------------------------------
@@ -743,21 +739,26 @@ def run_history(spark, d):
     return r.orderBy(F.desc("saved_at"), "video_url").limit(8)
 
 
-@query("select l_returnflag method, l_linestatus size, round(avg(l_quantity), 6) quantity, round(avg(l_discount), 6) discount from lineitem group by 1, 2")
+# runs by method (share of accounts kept) and size; their measures come from the summaries, so SQL can follow
+@query(f"""{_BASE} {_SUMMARY}, r as (select case when comment_count >= 3 then 'busy' else 'quiet' end method, ntile_ size, comment_count, total_likes, last_timestamp - first_timestamp span from (select *, right(user_id, 1)::int % 3 ntile_ from summ))
+select method, size, round(avg(comment_count), 6) comment_count, round(avg(total_likes), 6) total_likes, round(avg(span), 6) span from r group by 1, 2""")
 def method_comparison(spark, d):
-    rows = _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("size"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"))
-    return metrics.averages(rows, ["method", "size"], ["quantity", "discount"]).select("method", "size", _r("quantity"), _r("discount"))
+    s = parse.user_summary(_records(spark, d))
+    rows = s.select(
+        F.when(F.col("comment_count") >= 3, "busy").otherwise("quiet").alias("method"), (F.substring("user_id", -1, 1).cast("int") % 3).alias("size"), "comment_count", "total_likes", (F.col("last_timestamp") - F.col("first_timestamp")).alias("span")
+    )
+    return metrics.averages(rows, ["method", "size"], ["comment_count", "total_likes", "span"]).select("method", "size", _r("comment_count"), _r("total_likes"), _r("span"))
 
 
 @query(f"{_BASE} {_SUMMARY} select user_id, comment_count, reply_count, mention_count, total_likes, first_timestamp, last_timestamp from summ")
 def stream_user_summary(spark, d):
     schema = _table(spark, d, "comments").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/comment[s].parquet")
-    name = f"summary_{abs(hash(d))}"
-    run = summaries.run_to_table(summaries.user_summary(stream), name)
+    base = _stage(spark).base
+    run = summaries.run_to_table(summaries.user_summary(stream), f"{base}/table", checkpoint=f"{base}/checkpoint")
     run.processAllAvailable()
     run.stop()
-    return spark.table(name).select("user_id", "comment_count", "reply_count", "mention_count", "total_likes", "first_timestamp", "last_timestamp")
+    return spark.read.parquet(f"{base}/table").select("user_id", "comment_count", "reply_count", "mention_count", "total_likes", "first_timestamp", "last_timestamp")
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import metrics
 from threadloom.operators.scoring import WEIGHTS
 from threadloom.plans.pipeline import RunResult
+from threadloom.sinks.files import write_markdown
 
 # The columns of the cluster table.
 CLUSTER_COLUMNS = (
@@ -44,6 +45,38 @@ def cluster_report(result: RunResult) -> DataFrame:
     return rows.select(*[c.alias(name) for c, name in zip(shown, CLUSTER_COLUMNS)])
 
 
+def listed_accounts(result: RunResult, clusters: int = 8, each: int = 2) -> DataFrame:
+    """(user_id, username, cluster_id, score, comment_count, text_sample) of the suspicious accounts, one row each, by score.
+
+    Without any, the first accounts of the first clusters stand in, with their cluster's score. An
+    account that appears more than once keeps its highest score.
+    """
+    rows = result.details.select("user_id", "username", "cluster_id", "score")
+    if not rows.limit(1).count():
+        size = result.clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+        first = result.cluster_stats.join(size, "cluster_id").orderBy(F.desc("score"), F.desc("n"), "cluster_id").limit(clusters).select("cluster_id", "score")
+        at = result.clusters.join(F.broadcast(first), "cluster_id").join(result.nodes.select(F.col("id").alias("user_id"), F.col("label").alias("username"), "comment_count"), "user_id")  # `clusters` rows
+        order = Window.partitionBy("cluster_id").orderBy(F.desc("comment_count"), "user_id")
+        rows = at.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("user_id", "username", "cluster_id", "score")
+    one = rows.groupBy("user_id").agg(F.max_by(F.struct("username", "cluster_id", "score"), "score").alias("x")).select("user_id", "x.*")
+    return one.join(result.nodes.select(F.col("id").alias("user_id"), "comment_count", "text_sample"), "user_id", "left").orderBy(F.desc("score"), "user_id")
+
+
+def markdown_report(rows: list[dict], title: str, path: str) -> str:
+    """The comparison of methods as Markdown: means by method and size, quality, and time."""
+    mean = benchmarks_mean(rows)
+    quality = ["method", "requested_comments", "modularity", "silhouette", "conductance_mean", "num_clusters", "num_suspicious_users", "suspicious_user_ratio"]
+    time_ = ["method", "requested_comments", "repeats", *sorted({k for r in mean for k in r if k.endswith("_sec")})]
+    graph = ["method", "requested_comments", "num_nodes", "num_edges", "avg_degree", "density", "reduction_ratio"]
+    return write_markdown({"Quality": (mean, quality), "Graph": (mean, graph), "Time": (mean, time_), "Runs": (rows, ["method", "requested_comments", "quality_interpretation", "total_sec"])}, title, path)
+
+
+def benchmarks_mean(rows: list[dict]) -> list[dict]:
+    from threadloom.plans.benchmarks import aggregate  # which imports this module
+
+    return aggregate(rows, ("method", "requested_comments"))
+
+
 def visible_graph(result: RunResult, cluster_id: str | None = None, suspicious_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes of one cluster, or suspicious ones, and the edges between them."""
     nodes = result.nodes.where("suspicious_flag") if suspicious_only else result.nodes

@@ -16,13 +16,31 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 log = logging.getLogger(__name__)
 
 
+#: Comments of one JSON object of a snapshot; a larger snapshot is several objects, a line each.
+SNAPSHOT_ROWS = 10_000
+
+
 def write_snapshot(comments: DataFrame, video_url: str, folder: str) -> str | None:
-    """The comments as JSON lines under a stamped name and as ``latest``; a failure is logged, and null returned."""
+    """The comments under a stamped name and as ``latest``; a failure is logged, and null returned.
+
+    Objects of ``video_url``, ``saved_at``, ``count`` and ``comments``, in the order of pos, each of at most
+    ``SNAPSHOT_ROWS`` comments; up to that many the snapshot is one object. ``read_snapshot`` reads them back.
+    """
     try:
-        rows = comments.withColumn("video_url", F.lit(video_url)).withColumn("saved_at", F.current_timestamp().cast("string"))
         path = f"{folder}/comments-{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime())}"
-        rows.write.mode("overwrite").json(path)
-        rows.write.mode("overwrite").json(f"{folder}/latest")
+        plain = F.to_json(F.struct("comment_id", "user_id", "username", "text", "timestamp", "likes"))
+        quoted = F.expr("substring(to_json(array(raw)), 2, length(to_json(array(raw))) - 2)")
+        rows = comments.select(F.expr(f"pos div {SNAPSHOT_ROWS}").alias("part"), "pos", plain.alias("plain"), F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")).otherwise(quoted).alias("raw"))
+        # the fields' object without its last brace, and the raw part in it
+        one = F.when(F.col("raw").isNull(), F.col("plain")).otherwise(
+            F.concat(F.expr("substring(plain, 1, length(plain) - 1)"), F.when(F.col("plain") == "{}", "").otherwise(","), F.lit('"raw":'), F.regexp_replace("raw", "[\r\n]+", " "), F.lit("}"))
+        )
+        parts = rows.select("part", F.struct("pos", one.alias("c")).alias("x")).groupBy("part").agg(F.sort_array(F.collect_list("x")).alias("x"))  # at most SNAPSHOT_ROWS each
+        head = F.to_json(F.struct(F.lit(video_url).alias("video_url"), F.current_timestamp().cast("string").alias("saved_at"), F.size("x").alias("count")))
+        line = F.concat(F.regexp_replace(head, "[}]$", ""), F.lit(',"comments":['), F.array_join(F.transform("x", lambda x: x["c"]), ","), F.lit("]}"))
+        lines = parts.repartitionByRange("part").sortWithinPartitions("part").select(line.alias("value"))
+        for at in (path, f"{folder}/latest"):
+            lines.write.mode("overwrite").text(at)
         return path
     except Exception as e:
         log.warning("snapshot not written: %s", e)
@@ -86,6 +104,16 @@ def write_rows(rows: list[dict], stem: str) -> str:
     raise PermissionError(f"{stem}: no name could be written")
 
 
+def write_markdown(sections: dict[str, tuple[list[dict], list[str]]], title: str, path: str) -> str:
+    """A report of titled tables, (rows, columns) each; tables without rows say so."""
+    out = [f"# {title}"]
+    for name, (rows, columns) in sections.items():
+        out += [f"## {name}", markdown_table(rows, columns) if rows else "No rows."]
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text("\n\n".join(out) + "\n")
+    return path
+
+
 def markdown_table(rows: list[dict], columns: list[str]) -> str:
     cell = lambda x: "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x)
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]

@@ -17,22 +17,28 @@ def _typed(rows: DataFrame, v: str = "c", order: list | None = None) -> DataFram
     """Comment rows of a variant column; a raw part of any shape is kept as JSON text."""
     get = lambda k, t: F.try_variant_get(F.col(v), f"$.{k}", t)
     ts = get("timestamp", "double").cast("long")
+    raw = F.when(F.schema_of_variant(get("raw", "variant")) == "STRING", get("raw", "string")).otherwise(F.to_json(get("raw", "variant")))
+    raw = F.when(F.schema_of_variant(get("raw", "variant")) != "VOID", raw)
     return rows.select(
         *(order or []), get("comment_id", "string").alias("comment_id"), get("user_id", "string").alias("user_id"), get("username", "string").alias("username"),
-        get("text", "string").alias("text"), ts.alias("timestamp"), get("likes", "double").cast("long").alias("likes"), F.to_json(get("raw", "variant")).alias("raw"),
+        get("text", "string").alias("text"), ts.alias("timestamp"), get("likes", "double").cast("long").alias("likes"), raw.alias("raw"),
     )
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Comments of snapshot files: an object with ``comments``, or a bare list; other elements are dropped.
+    """Comments of snapshot files: an object with ``comments`` or a bare list, or such objects a line each; other elements are dropped.
 
     Rows are numbered by file and place in it (pos). A file that is not JSON, or without any comment
     object, is a ValueError.
     """
     files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    # values that follow each other without a comma, which no single value has in it, stand on a line each
+    several = F.col("value").rlike(r"[}\]]\s*\n\s*[{\[]")
+    whole = files.select("file", F.posexplode(F.when(several, F.split("value", "\r?\n")).otherwise(F.array("value"))).alias("line", "value"))
     v = F.try_parse_json("value")
     listed = F.coalesce(F.try_variant_get(v, "$.comments", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
-    items = files.select("file", F.posexplode(listed).alias("at", "c")).where(F.schema_of_variant("c").startswith("OBJECT"))
+    items = whole.select("file", "line", F.posexplode(listed).alias("in_line", "c")).where(F.schema_of_variant("c").startswith("OBJECT"))
+    items = items.select("file", (F.col("line").cast("long") * 2**32 + F.col("in_line")).alias("at"), "c")
     # counts of each file, not their rows, pass through the ordering
     stage = Stage(spark, "snapshot")
     rows = stage.put(_typed(items, order=["file", "at"]).withColumn("i", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1))

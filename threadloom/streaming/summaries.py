@@ -26,7 +26,11 @@ def activity(comments: DataFrame, width: str = "10 minutes", late: str = "6 hour
     return windows.select(F.col("window.start").alias("window_start"), "n_comments", "accounts")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> StreamingQuery:
-    """The stream as an in-memory table, for small results and tests."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name)
+def run_to_table(stream: DataFrame, path: str, mode: str = "complete", checkpoint: str | None = None) -> StreamingQuery:
+    """The stream as a Parquet table: each batch's full result replaces the last one ("complete"), or new rows are added ("append")."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
