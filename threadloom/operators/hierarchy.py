@@ -7,6 +7,8 @@ rounds. A node still open when a round settles no other one lies on a cycle or l
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +26,12 @@ def _nodes(rows: DataFrame, node: str, parent: str) -> DataFrame:
 
 
 def _doubled(open_: DataFrame, state: DataFrame, with_path: bool) -> DataFrame:
+    """Open rows with the pointers of the nodes they lead to, all of which have a row: an inner join, so that few open rows cost no shuffle of the rest."""
     q = state.select(
         F.col("id").alias("q_id"), F.col("anc").alias("q_anc"), F.col("dist").alias("q_dist"), F.col("done").alias("q_done"), *([F.col("path").alias("q_path")] if with_path else [])
     )
-    j = open_.join(q, F.col("anc") == F.col("q_id"), "left")
-    cols = [
-        F.col("id"),
-        F.coalesce("q_anc", "anc").alias("anc"),
-        (F.col("dist") + F.coalesce("q_dist", F.lit(0))).cast("long").alias("dist"),
-        # a pointer to a node outside the table can go no farther
-        F.coalesce("q_done", F.lit(True)).alias("done"),
-    ]
-    if with_path:
-        cols.append(F.when(F.col("q_id").isNull(), F.col("path")).otherwise(F.concat("path", "q_path")).alias("path"))
-    return j.select(*cols)
+    path = [F.concat("path", "q_path").alias("path")] if with_path else []
+    return open_.join(q, F.col("anc") == F.col("q_id")).select("id", F.col("q_anc").alias("anc"), (F.col("dist") + F.col("q_dist")).alias("dist"), F.col("q_done").alias("done"), *path)
 
 
 def resolve(rows: DataFrame, node: str, parent: str, with_path: bool = False) -> DataFrame:
@@ -62,30 +56,32 @@ def resolve(rows: DataFrame, node: str, parent: str, with_path: bool = False) ->
 
 def _settle(nodes: DataFrame, stage: Stage, with_path: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Resolved rows (id, root, depth, cyclic[, path]) of nodes(id, up), and the nodes (id, up) whose chain never ends, null if none."""
-    cols = ["id", "anc", "dist", "done"] + (["path"] if with_path else [])
     nodes = stage.put(nodes.select("id", "up"))
-    start = nodes.select(
+    known = nodes.select(F.col("id").alias("known"))
+    # a chain ends at a node without parent, or at a parent without a row
+    start = nodes.join(known, F.col("up") == F.col("known"), "left").select(
         "id",
         F.coalesce("up", "id").alias("anc"),
         F.col("up").isNotNull().cast("long").alias("dist"),
-        F.col("up").isNull().alias("done"),
+        F.col("known").isNull().alias("done"),
         *([F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array("up")).alias("path")] if with_path else []),
     )
     still = F.count(F.when(~F.col("done"), 1))
-    state = stage.put(start, left=still)
-    left = stage.seen["left"]
-    while left:
-        moved = _doubled(state.where("not done"), state, with_path)
-        after = stage.put(state.where("done").select(cols).unionByName(moved.select(cols)), left=still)
-        stage.drop(state)
-        state, before = after, left
-        left = stage.seen["left"]
-        if left == before:
-            break
-    settled = state.where("done").select(
+    # each round's rows are written once: settled ones stay where they are, open ones are superseded
+    rounds = [stage.put(start, left=still)]
+    left, before = stage.seen["left"], None
+
+    def settled() -> DataFrame:
+        return reduce(DataFrame.union, [r.where("done") for r in rounds])
+
+    while left and left != before:
+        open_ = rounds[-1].where("not done")
+        rounds.append(stage.put(_doubled(open_, settled().union(open_), with_path), left=still))
+        left, before = stage.seen["left"], left
+    out = settled().select(
         "id", F.col("anc").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("cyclic"), *([F.reverse(F.concat(F.array("id"), "path")).alias("path")] if with_path else [])
     )
-    return settled, stage.put(nodes.join(state.where("not done").select("id"), "id", "left_semi")) if left else None
+    return out, stage.put(nodes.join(rounds[-1].where("not done").select("id"), "id", "left_semi")) if left else None
 
 
 def entered_roots(nodes: DataFrame) -> DataFrame:
