@@ -9,6 +9,8 @@ to a single vertex and the tail is left to the propagation, which handles any di
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +40,15 @@ def consolidate(ids: DataFrame, links: DataFrame, levels: int = 12) -> DataFrame
     rest, giant = pairs, None
     if top:
         spark = ids.sparkSession
-        frontier = spark.createDataFrame([(top[0].id,)], "id string")
-        reached, level, grown = stage.put(frontier), 0, 1
-        while grown and level < levels:
-            # distinct before the anti-join: a frontier may see the same vertex along many links
-            step = both.join(frontier, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
-            frontier = stage.put(step.join(reached, "id", "left_anti"))
-            grown = frontier.limit(1).count()
-            if grown:
-                more = stage.put(reached.union(frontier))
-                stage.drop(reached)
-                reached = more
-            level += 1
+        frontiers, grown = [stage.put(spark.createDataFrame([(top[0].id,)], "id string"))], 1
+        while grown and len(frontiers) <= levels:
+            # a link leads to the level before, the same or the next, so no other has to be looked at
+            step = both.join(frontiers[-1], F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
+            for seen in frontiers[-2:]:
+                step = step.join(seen, "id", "left_anti")
+            frontiers.append(stage.put(step, rows=F.count(F.lit(1))))
+            grown = stage.seen["rows"]
+        reached = reduce(DataFrame.union, frontiers)
         low = reached.agg(F.min("id")).collect()[0][0]
         giant = reached.select("id", F.lit(low).alias("label"))
         if not grown:
