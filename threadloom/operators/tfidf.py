@@ -83,15 +83,20 @@ def fit(rows: DataFrame, min_docs: int = 1, ngrams: tuple[int, ...] = NGRAMS, ma
         return None
     terms = stage.put(counts.groupBy("term", "n").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")))
     share = 1.0 if n_docs < 30 else max_df
+    options = [(top, low) for top in ngrams for low in min_df_values(n_docs)]
+    allowed = [(F.col("n") <= top) & (F.col("df") >= low) & (F.col("df") <= share * n_docs) for top, low in options]
+    # one pass counts all options; only those beyond the feature limit need an order
+    whole = terms.agg(*[x for i, c in enumerate(allowed) for x in (F.coalesce(F.sum(F.when(c, F.col("df"))), F.lit(0)).alias(f"e{i}"), F.count_if(c).alias(f"f{i}"))]).first()
     best, grid = None, []
-    for top in ngrams:
-        for low in min_df_values(n_docs):
-            kept = terms.where((F.col("n") <= top) & (F.col("df") >= low) & (F.col("df") <= share * n_docs)).orderBy(F.desc("total"), "term").limit(max_features)
-            entries, features = kept.agg(F.coalesce(F.sum("df"), F.lit(0)), F.count(F.lit(1))).first()
-            grid.append((top, low, entries, features))
-            key = (entries, features, top, -low)
-            if features and (best is None or key > best[0]):
-                best = (key, kept, top, low)
+    for i, (top, low) in enumerate(options):
+        kept, entries, features = terms.where(allowed[i]), whole[f"e{i}"], whole[f"f{i}"]
+        if features > max_features:
+            kept = kept.orderBy(F.desc("total"), "term").limit(max_features)
+            entries, features = kept.agg(F.sum("df"), F.count(F.lit(1))).first()
+        grid.append((top, low, entries, features))
+        key = (entries, features, top, -low)
+        if features and (best is None or key > best[0]):
+            best = (key, kept, top, low)
     if best is None:
         return None
     _, kept, top, low = best
