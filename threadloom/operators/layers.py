@@ -91,15 +91,16 @@ def temporal_edges(summary: DataFrame, k: int) -> DataFrame:
     return max_merge(top_neighbours(scored, k, [F.desc(F.round("w", 12)), F.col("rv")]))
 
 
-#: Rows of a block of sparse vectors.
-BLOCK_ROWS = 2_048
+#: Rows of a block of sparse vectors, and of those that search together.
+BLOCK_ROWS = 8_192
+SEARCHING = 256
 
 
 def sparse_neighbours(vectors: DataFrame, k: int, features: int) -> DataFrame:
     """(u, v, w): the k most similar others by inner product of sparse vectors (id, idx, val), if above 0.
 
-    Exact. Vectors are cut into blocks and each pair of blocks is one bounded task; a row's best k of
-    each block meet in the end. Sums are compared to nine decimals, equal ones rank by id.
+    Exact. Vectors are cut into blocks and each pair of blocks is one bounded task, in which a row meets
+    only those that share a term with it, by inverted lists; a row's best k of each block meet in the end. Sums are compared to nine decimals, equal ones rank by id.
     """
     stage = Stage(vectors.sparkSession, "content")
     rows = stage.put(vectors)
@@ -110,29 +111,37 @@ def sparse_neighbours(vectors: DataFrame, k: int, features: int) -> DataFrame:
     held = own.select(F.explode(others).alias("qb"), F.col("blk").alias("xb"), F.lit(True).alias("as_x"), "id", "idx", "val")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[pdf["as_x"]].sort_values("id")
-        q = pdf[~pdf["as_x"]]
-        out = []
+        x, q = pdf[pdf["as_x"]].sort_values("id"), pdf[~pdf["as_x"]]
+        out = [pd.DataFrame({"u": [], "v": [], "w": []})]
         if len(x) and len(q):
-            ids = x["id"].to_numpy()
-            starts = np.concatenate(([0], np.cumsum(x["idx"].map(len).to_numpy())))[:-1]
-            idx, val = np.concatenate(x["idx"].to_numpy()), np.concatenate(x["val"].to_numpy())
-            step = max(1, 8_000_000 // max(1, len(idx)))
-            q_ids, q_idx, q_val = q["id"].to_numpy(), q["idx"].to_numpy(), q["val"].to_numpy()
-            for a in range(0, len(q), step):
-                part = slice(a, a + step)
-                dense = np.zeros((len(q_ids[part]), features))
-                for i, (j, v) in enumerate(zip(q_idx[part], q_val[part])):
-                    dense[i, j] = v
-                sims = np.add.reduceat(dense[:, idx] * val, starts, axis=1)
-                sims[q_ids[part][:, None] == ids[None, :]] = 0
+            # the held rows by term: a searching row only meets rows that share a term with it
+            ids, length = x["id"].to_numpy(), x["idx"].map(len).to_numpy()
+            term, row, val = np.concatenate(x["idx"].to_numpy()), np.repeat(np.arange(len(x)), length), np.concatenate(x["val"].to_numpy())
+            order = np.argsort(term, kind="stable")
+            row, val, start = row[order], val[order], np.searchsorted(term[order], np.arange(features + 1))
+            own = pd.Series(np.arange(len(x)), index=ids)
+            for a in range(0, len(q), SEARCHING):
+                part = q.iloc[a : a + SEARCHING]
+                q_ids, t = part["id"].to_numpy(), np.concatenate(part["idx"].to_numpy())
+                who, have = np.repeat(np.arange(len(part)), part["idx"].map(len).to_numpy()), np.concatenate(part["val"].to_numpy())
+                met = start[t + 1] - start[t]
+                sims = np.zeros(len(part) * len(x))
+                ends = np.cumsum(met)
+                for b in range(0, len(t), step := max(1, 4_000_000 * len(t) // max(1, int(ends[-1]))) if len(t) else 1):
+                    some = slice(b, b + step)
+                    n = met[some]
+                    at = np.repeat(start[t[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    sims += np.bincount(np.repeat(who[some], n) * len(x) + row[at], weights=np.repeat(have[some], n) * val[at], minlength=len(sims))
+                sims = sims.reshape(len(part), len(x))
+                same = own.reindex(q_ids).to_numpy()
+                sims[np.flatnonzero(same == same), same[same == same].astype(int)] = 0
                 key = np.round(sims, 9)
                 # stable sorting keeps ids in order among equals
                 best = np.argsort(-key, axis=1, kind="stable")[:, :k]
-                for i, js in enumerate(best):
-                    js = js[key[i, js] > 0]
-                    out.append(pd.DataFrame({"u": q_ids[a + i], "v": ids[js], "w": sims[i, js]}))
-        return pd.concat(out) if out else pd.DataFrame({"u": [], "v": [], "w": []})
+                i, j = np.repeat(np.arange(len(part)), best.shape[1]), best.ravel()
+                keep = key[i, j] > 0
+                out.append(pd.DataFrame({"u": q_ids[i[keep]], "v": ids[j[keep]], "w": sims[i[keep], j[keep]]}))
+        return pd.concat(out)
 
     found = ask.unionByName(held).groupBy("qb", "xb").applyInPandas(search, "u string, v string, w double")
     return top_neighbours(found, k, [F.desc(F.round("w", 9)), F.col("v")])

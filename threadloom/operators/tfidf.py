@@ -112,8 +112,21 @@ def _weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def unigram_weights(rows: DataFrame) -> DataFrame:
-    """(doc, term, w) of all single tokens, without floor or limit."""
-    counts = Stage(rows.sparkSession, "tfidf").put(term_counts(rows, 1))
+    """(doc, term, w) of all single tokens of token rows, without floor or limit."""
+    return weights_of(term_counts(rows, 1).select("doc", "term", "tf"))
+
+
+def raw_counts(texts: DataFrame, doc: str, text: str, normal, keep) -> DataFrame:
+    """(doc, term, tf) of the plain tokens of texts, made normal by ``normal(token)`` once for each distinct token, and kept where ``keep(term)``."""
+    raw = texts.select(F.col(doc).cast("string").alias("doc"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))).alias("token"))
+    counts = Stage(texts.sparkSession, "tokens").put(raw.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("c")))
+    terms = counts.select("token").distinct().select("token", normal(F.col("token")).alias("term")).where(keep(F.col("term")))
+    return counts.join(terms, "token").groupBy("doc", "term").agg(F.sum("c").alias("tf"))
+
+
+def weights_of(counts: DataFrame) -> DataFrame:
+    """(doc, term, w), of unit length by document, of counts (doc, term, tf)."""
+    counts = Stage(counts.sparkSession, "tfidf").put(counts)
     n = counts.select("doc").distinct().count()
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = counts.join(df, "term").select("doc", "term", (F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("w"))

@@ -290,12 +290,18 @@ wt as (select doc, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) w from tf join df
 weights as (select doc, term, w / sqrt(sum(w * w) over (partition by doc)) w from wt)"""
 
 
+def _plain_weights(df: DataFrame, key: str, col: str) -> DataFrame:
+    """Weights of the tokens of ``_simple_rows``."""
+    stops = text.stop_words()
+    return tfidf.weights_of(tfidf.raw_counts(df, key, col, text.lemma, lambda t: (F.length(t) >= 2) & ~t.isin(*stops)))
+
+
 def _doc_weights(spark, d) -> DataFrame:
-    return tfidf.unigram_weights(_simple_rows(_table(spark, d, "documents").where("text is not null"), "doc_id", "text"))
+    return _plain_weights(_table(spark, d, "documents").where("text is not null"), "doc_id", "text")
 
 
 def _user_weights(spark, d) -> DataFrame:
-    return tfidf.unigram_weights(_simple_rows(_table(spark, d, "comments").where("user_id is not null and user_id <> '' and text is not null"), "user_id", "text"))
+    return _plain_weights(_table(spark, d, "comments").where("user_id is not null and user_id <> '' and text is not null"), "user_id", "text")
 
 
 @query(f"with {_DOC_TEXT}, {_tfidf_sql('src_t')} select doc, term, round(w, 6) w from weights")
