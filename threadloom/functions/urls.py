@@ -15,6 +15,7 @@ IN_PAGE = (
     r"https://www\.tiktok\.com/@[^\"']+/(?:video|photo)/(\d{5,25})",
     r"/(?:video|photo)/(\d{5,25})",
 )
+# Hosts of shortened links and of pages.
 SHORT_HOSTS = ("vt.tiktok.com", "vm.tiktok.com", "t.tiktok.com")
 PAGE_HOSTS = ("www.tiktok.com", "m.tiktok.com")
 SITE = "tiktok"
