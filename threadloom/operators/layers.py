@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,60 +93,210 @@ def temporal_edges(summary: DataFrame, k: int) -> DataFrame:
     return max_merge(top_neighbours(scored, k, [F.desc(F.round("w", 12)), F.col("rv")]))
 
 
-#: Rows of a block of sparse vectors, and of those that search together.
+#: Rows of a block of sparse vectors, the most rows of a searching task, and those of them that meet a block at once.
 BLOCK_ROWS = 8_192
-SEARCHING = 256
+STRIP_ROWS = 16_384
+SEARCHING = 512
+#: Share of the rows from which a term is multiplied in full rather than by lists, at most so many terms, and the error of single precision.
+HEAVY = 0.04
+HEAVY_TERMS = 2_048
+SINGLE = 1e-4
 
 
 def sparse_neighbours(vectors: DataFrame, k: int, features: int) -> DataFrame:
     """(u, v, w): the k most similar others by inner product of sparse vectors (id, idx, val), if above 0.
 
-    Exact. Vectors are cut into blocks and each pair of blocks is one bounded task, in which a row meets
-    only those that share a term with it, by inverted lists; a row's best k of each block meet in the end. Sums are compared to nine decimals, equal ones rank by id.
+    Exact. The rows are written once in order of id. A task has a strip of them and reads all others block by block from the
+    shared folder, so no row is copied. Frequent terms are multiplied as matrices, the rest by inverted lists, in single
+    precision; pairs that may be among the k best so far are then computed in double. Sums are compared to nine decimals,
+    equal ones rank by id.
     """
-    stage = Stage(vectors.sparkSession, "content")
-    rows = stage.put(vectors)
-    blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
-    own = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.expr(f"sequence(0, {blocks - 1})")
-    ask = own.select(F.col("blk").alias("qb"), F.explode(others).alias("xb"), F.lit(False).alias("as_x"), "id", "idx", "val")
-    held = own.select(F.explode(others).alias("qb"), F.col("blk").alias("xb"), F.lit(True).alias("as_x"), "id", "idx", "val")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, q = pdf[pdf["as_x"]].sort_values("id"), pdf[~pdf["as_x"]]
-        out = [pd.DataFrame({"u": [], "v": [], "w": []})]
-        if len(x) and len(q):
-            # the held rows by term: a searching row only meets rows that share a term with it
-            ids, length = x["id"].to_numpy(), x["idx"].map(len).to_numpy()
-            term, row, val = np.concatenate(x["idx"].to_numpy()), np.repeat(np.arange(len(x)), length), np.concatenate(x["val"].to_numpy())
-            order = np.argsort(term, kind="stable")
-            row, val, start = row[order], val[order], np.searchsorted(term[order], np.arange(features + 1))
-            own = pd.Series(np.arange(len(x)), index=ids)
-            for a in range(0, len(q), SEARCHING):
-                part = q.iloc[a : a + SEARCHING]
-                q_ids, t = part["id"].to_numpy(), np.concatenate(part["idx"].to_numpy())
-                who, have = np.repeat(np.arange(len(part)), part["idx"].map(len).to_numpy()), np.concatenate(part["val"].to_numpy())
-                met = start[t + 1] - start[t]
-                sims = np.zeros(len(part) * len(x))
-                ends = np.cumsum(met)
-                for b in range(0, len(t), step := max(1, 4_000_000 * len(t) // max(1, int(ends[-1]))) if len(t) else 1):
-                    some = slice(b, b + step)
-                    n = met[some]
-                    at = np.repeat(start[t[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    sims += np.bincount(np.repeat(who[some], n) * len(x) + row[at], weights=np.repeat(have[some], n) * val[at], minlength=len(sims))
-                sims = sims.reshape(len(part), len(x))
-                same = own.reindex(q_ids).to_numpy()
-                sims[np.flatnonzero(same == same), same[same == same].astype(int)] = 0
-                key = np.round(sims, 9)
-                # stable sorting keeps ids in order among equals
-                best = np.argsort(-key, axis=1, kind="stable")[:, :k]
-                i, j = np.repeat(np.arange(len(part)), best.shape[1]), best.ravel()
-                keep = key[i, j] > 0
-                out.append(pd.DataFrame({"u": q_ids[i[keep]], "v": ids[j[keep]], "w": sims[i[keep], j[keep]]}))
-        return pd.concat(out)
-
-    found = ask.unionByName(held).groupBy("qb", "xb").applyInPandas(search, "u string, v string, w double")
-    return top_neighbours(found, k, [F.desc(F.round("w", 9)), F.col("v")])
+    spark = vectors.sparkSession
+    stage = Stage(spark, "content")
+    raw = stage.put(vectors.select("id", F.col("idx").cast("array<int>").alias("idx"), F.col("val").cast("array<double>").alias("val")).where(F.size("idx") > 0))
+    rows = stage.put(raw.orderBy("id"))
+    stage.drop(raw)
+    # a file's name has the number of its part, and parts are in the order of the sort
+    files = sorted((f, n) for f, n in rows.groupBy(F.input_file_name()).count().collect())
+    count, workers = sum(n for _, n in files), spark.sparkContext.defaultParallelism
+    size = max(1, min(STRIP_ROWS, max(SEARCHING, math.ceil(count / (8 * workers)))))
+    strips = [(f, a, min(size, n - a)) for f, n in files for a in range(0, n, size)]
+    if not strips:
+        return spark.createDataFrame([], "u string, v string, w double")
+    often = rows.select(F.explode("idx").alias("idx")).groupBy("idx").count().where(F.col("count") >= HEAVY * count)
+    heavy = [r.idx for r in often.orderBy(F.desc("count"), "idx").limit(HEAVY_TERMS).collect()]
+    paths, block, together = [f for f, _ in files], BLOCK_ROWS, SEARCHING
+
+    def search(batches):
+        column = np.full(features, -1)
+        column[heavy] = np.arange(len(heavy))
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield _search_strip(strips[i], paths, k, column, block, together)
+
+    return spark.range(0, len(strips), 1, len(strips)).mapInArrow(search, "u string, v string, w double")
+
+
+class _Block:
+    """Sparse rows, those of their terms that have a ``column`` in full, the others as inverted lists; ``first`` is the place of the first row in the order of all."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table, first: int, column: np.ndarray):
+        idx, val = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (batch.column("idx"), batch.column("val")))
+        self.first, self.rows = first, len(idx)
+        self.length = idx.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.idx, self.val = idx.flatten().to_numpy(), val.flatten().to_numpy()
+        self.norm = np.sqrt(np.bincount(np.repeat(np.arange(self.rows), self.length), self.val * self.val, self.rows))
+        self.positive = not (self.val < 0).any()
+        row, at = np.repeat(np.arange(self.rows), self.length), column[self.idx]
+        self.full = np.zeros((self.rows, int(column.max()) + 1), np.float32)
+        self.full[row[at >= 0], at[at >= 0]] = self.val[at >= 0]
+        light = np.flatnonzero(at < 0)
+        light = light[np.argsort(self.idx[light], kind="stable")]
+        self.list_row, self.list_val = row[light], self.val[light].astype(np.float32)
+        self.list_end = np.cumsum(np.bincount(self.idx[light], minlength=len(column)))
+        self.key, self.key_val = row * len(column) + self.idx, self.val
+        if (np.diff(self.key) < 0).any():
+            order = np.argsort(self.key, kind="stable")
+            self.key, self.key_val = self.key[order], self.val[order]
+
+    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries of some rows, and which of ``rows`` each belongs to."""
+        n = self.length[rows]
+        ends = np.cumsum(n)
+        return np.arange(ends[-1] if len(n) else 0) + np.repeat(self.start[rows] - (ends - n), n), np.repeat(np.arange(len(rows)), n)
+
+
+def _blocks(paths: list[str], rows: int, names: list[str]):
+    """Batches of at most ``rows`` rows of Parquet files."""
+    for path in paths:
+        fs, at = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(at) as f:
+            yield from pq.ParquetFile(f).iter_batches(rows, columns=names)
+
+
+def _rows_of(path: str, start: int, n: int, block: int) -> pa.Table:
+    """``n`` rows of a Parquet file from ``start`` on."""
+    kept, at = [], 0
+    for batch in _blocks([path], block, ["id", "idx", "val"]):
+        if at >= start + n:
+            break
+        if at + len(batch) > start:
+            kept.append(batch.slice(max(0, start - at), min(len(batch), start + n - at) - max(0, start - at)))
+        at += len(batch)
+    return pa.Table.from_batches(kept)
+
+
+def _search_strip(strip: tuple[str, int, int], paths: list[str], k: int, column: np.ndarray, block: int, together: int) -> pa.RecordBatch:
+    """(u, v, w) of a strip's rows."""
+    table = _rows_of(*strip, block)
+    first = 0
+    for path in paths[: paths.index(strip[0])]:
+        fs, at = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(at) as f:
+            first += pq.ParquetFile(f).metadata.num_rows
+    q = _Block(table, first + strip[1], column)
+    best = _Best(q.rows, k)
+    parts = [_Part(q, a, min(q.rows, a + together), column) for a in range(0, q.rows, together)]
+    place = 0
+    for batch in _blocks(paths, block, ["idx", "val"]):
+        x = _Block(batch, place, column)
+        for part in parts:
+            part.meet(x, best)
+        place += x.rows
+    row, at = np.nonzero(best.place >= 0)
+    wanted, back = np.unique(best.place[row, at], return_inverse=True)
+    named, place = [], 0
+    for batch in _blocks(paths, block, ["id"]):
+        some = wanted[np.searchsorted(wanted, place) : np.searchsorted(wanted, place + len(batch))]
+        named.append(batch.column(0).take(pa.array(some - place)))
+        place += len(batch)
+    ids = pa.chunked_array(named, pa.string()).combine_chunks()
+    own = table.column("id").combine_chunks()
+    return pa.RecordBatch.from_arrays([own.take(pa.array(row)), ids.take(pa.array(back)), pa.array(best.w[row, at])], names=["u", "v", "w"])
+
+
+class _Best:
+    """The k best of each row so far, by rounded weight and place; ``floor`` is the k-th one's rounded weight, 0 before there are k."""
+
+    def __init__(self, rows: int, k: int):
+        self.k, self.floor = k, np.zeros(rows)
+        self.w, self.place = np.zeros((rows, k)), np.full((rows, k), -1)
+
+    def add(self, row: np.ndarray, place: np.ndarray, w: np.ndarray) -> None:
+        """Pairs of places beyond all there are, so an equal weight comes after those."""
+        keep = np.round(w, 9) > self.floor[row]
+        row, place, w = row[keep], place[keep], w[keep]
+        if not len(row):
+            return
+        changed = np.unique(row)
+        r, c = np.nonzero(self.place[changed] >= 0)
+        row, place, w = np.concatenate([changed[r], row]), np.concatenate([self.place[changed][r, c], place]), np.concatenate([self.w[changed][r, c], w])
+        order = np.lexsort((place, -np.round(w, 9), row))
+        row, place, w = row[order], place[order], w[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.k
+        row, place, w, rank = row[keep], place[keep], w[keep], rank[keep]
+        self.place[row, rank], self.w[row, rank] = place, w
+        full = row[rank == self.k - 1]
+        self.floor[full] = np.round(self.w[full, -1], 9)
+
+
+class _Part:
+    """Some rows of a strip."""
+
+    def __init__(self, q: _Block, start: int, end: int, column: np.ndarray):
+        self.q, self.features = q, len(column)
+        self.rows, self.full, self.norm = np.arange(start, end), q.full[start:end], q.norm[start:end]
+        at, who = q.entries(self.rows)
+        light = column[q.idx[at]] < 0
+        self.lists = (who[light], q.idx[at][light], q.val[at][light].astype(np.float32))
+
+    def about(self, x: _Block) -> np.ndarray:
+        """Inner products with a block's rows in single precision."""
+        out = self.full @ x.full.T if self.full.shape[1] else np.zeros((len(self.rows), x.rows), np.float32)
+        who, term, val = self.lists
+        start = np.where(term > 0, x.list_end[term - 1], 0)
+        met = x.list_end[term] - start
+        some = np.flatnonzero(met)
+        who, val, start, met = who[some], val[some], start[some], met[some]
+        ends = np.cumsum(met)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, 1_000_000)))
+        for a, b in zip(cuts, [*cuts[1:], len(met)]):
+            n = met[a:b]
+            at = np.arange(n.sum()) + np.repeat(start[a:b] - (np.cumsum(n) - n), n)
+            np.add.at(out.reshape(-1), x.list_row[at] + np.repeat(who[a:b] * x.rows, n), x.list_val[at] * np.repeat(val[a:b], n))
+        return out
+
+    def weights(self, x: _Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Inner products of pairs of a row of the strip and one of a block, which is searched for the former's terms."""
+        out = [np.zeros(0)]
+        ends = np.cumsum(self.q.length[i])
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, 500_000)))
+        for a, b in zip(cuts, [*cuts[1:], len(i)]):
+            at, pair = self.q.entries(i[a:b])
+            key = j[a:b][pair] * self.features + self.q.idx[at]
+            found = np.minimum(np.searchsorted(x.key, key), len(x.key) - 1)
+            out.append(np.bincount(pair, np.where(x.key[found] == key, self.q.val[at] * x.key_val[found], 0), b - a))
+        return np.concatenate(out)
+
+    def meet(self, x: _Block, best: _Best) -> None:
+        about = self.about(x)
+        floor = best.floor[self.rows]
+        error = SINGLE * self.norm * x.norm.max() + 1e-8
+        fresh = np.flatnonzero(floor == 0)
+        if len(fresh) and x.rows > best.k:
+            # the block itself has k others, with the row itself k + 1, at least about this good
+            seen = np.partition(about[fresh], x.rows - best.k - 1, axis=1)[:, x.rows - best.k - 1]
+            floor[fresh] = np.maximum(0, seen - error[fresh])
+        least = floor - error
+        if self.q.positive and x.positive:
+            least = np.maximum(least, 1e-12)  # no term in common, no weight
+        i, j = np.nonzero(about >= least.astype(np.float32)[:, None])
+        i = self.rows[i]
+        other = self.q.first + i != x.first + j
+        i, j = i[other], j[other]
+        best.add(i, x.first + j, self.weights(x, i, j))
 
 
 def content_edges(vectors: DataFrame, k: int, features: int) -> DataFrame:

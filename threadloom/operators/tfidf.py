@@ -119,8 +119,11 @@ def unigram_weights(rows: DataFrame) -> DataFrame:
 def raw_counts(texts: DataFrame, doc: str, text: str, normal, keep) -> DataFrame:
     """(doc, term, tf) of the plain tokens of texts, made normal by ``normal(token)`` once for each distinct token, and kept where ``keep(term)``."""
     raw = texts.select(F.col(doc).cast("string").alias("doc"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))).alias("token"))
-    counts = Stage(texts.sparkSession, "tokens").put(raw.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("c")))
-    terms = counts.select("token").distinct().select("token", normal(F.col("token")).alias("term")).where(keep(F.col("term")))
+    stage = Stage(texts.sparkSession, "tokens")
+    counts = stage.put(raw.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("c")))
+    # as tables, else the optimizer moves what keeps a term below the distinct and to the join's other side, to all rows of both
+    tokens = stage.put(counts.select("token").distinct())
+    terms = stage.put(tokens.select("token", normal(F.col("token")).alias("term")).where(keep(F.col("term"))))
     return counts.join(terms, "token").groupBy("doc", "term").agg(F.sum("c").alias("tf"))
 
 
