@@ -37,3 +37,15 @@ def test_tokens_made_normal_once(spark):
     counts = tfidf.raw_counts(df, "doc", "text", lambda t: F.regexp_replace(t, "s$", ""), lambda t: t != "of")
     assert "regexp_replace" not in counts._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.doc, r.term): r.tf for r in counts.collect()} == {("a", "cat"): 3, ("b", "cat"): 1, ("b", "dog"): 1}
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    from threadloom.runtime import CLEANUP, Stage
+
+    stage, before = Stage(spark, "shuffles"), spark.conf.get(CLEANUP, None)
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    spark._jvm.System.gc()
+    was = held()
+    assert stage.put(spark.range(1000).repartition(7, "id").groupBy("id").count()).count() == 1000
+    assert held() <= was + 1 and spark.conf.get(CLEANUP, None) == before  # the last count's own
+    stage.clear()

@@ -113,9 +113,8 @@ def sparse_neighbours(vectors: DataFrame, k: int, features: int) -> DataFrame:
     """
     spark = vectors.sparkSession
     stage = Stage(spark, "content")
-    raw = stage.put(vectors.select("id", F.col("idx").cast("array<int>").alias("idx"), F.col("val").cast("array<double>").alias("val")).where(F.size("idx") > 0))
-    rows = stage.put(raw.orderBy("id"))
-    stage.drop(raw)
+    vectors = vectors.select("id", F.col("idx").cast("array<int>").alias("idx"), F.col("val").cast("array<double>").alias("val")).where(F.size("idx") > 0)
+    rows = stage.put(vectors.orderBy("id"))
     # a file's name has the number of its part, and parts are in the order of the sort
     files = sorted((f, n) for f, n in rows.groupBy(F.input_file_name()).count().collect())
     count, workers = sum(n for _, n in files), spark.sparkContext.defaultParallelism

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import normalized_tokens
+from threadloom.operators.ranking import global_rank
 from threadloom.runtime import Stage
 
 MAX_FEATURES = 20_000
@@ -116,15 +117,18 @@ def unigram_weights(rows: DataFrame) -> DataFrame:
     return weights_of(term_counts(rows, 1).select("doc", "term", "tf"))
 
 
-def raw_counts(texts: DataFrame, doc: str, text: str, normal, keep) -> DataFrame:
+def raw_counts(texts: DataFrame, doc: str, text: str, normal, keep, stage: Stage | None = None) -> DataFrame:
     """(doc, term, tf) of the plain tokens of texts, made normal by ``normal(token)`` once for each distinct token, and kept where ``keep(term)``."""
     raw = texts.select(F.col(doc).cast("string").alias("doc"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))).alias("token"))
-    stage = Stage(texts.sparkSession, "tokens")
+    stage = stage or Stage(texts.sparkSession, "tokens")
     counts = stage.put(raw.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("c")))
     # as tables, else the optimizer moves what keeps a term below the distinct and to the join's other side, to all rows of both
     tokens = stage.put(counts.select("token").distinct())
     terms = stage.put(tokens.select("token", normal(F.col("token")).alias("term")).where(keep(F.col("term"))))
-    return counts.join(terms, "token").groupBy("doc", "term").agg(F.sum("c").alias("tf"))
+    named = stage.put(counts.join(terms, "token").select("doc", "term", "c"))
+    for table in (counts, tokens, terms):
+        stage.drop(table)
+    return named.groupBy("doc", "term").agg(F.sum("c").alias("tf"))
 
 
 def weights_of(counts: DataFrame) -> DataFrame:
@@ -137,6 +141,17 @@ def weights_of(counts: DataFrame) -> DataFrame:
     return raw.join(norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def vectors_of(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(id, idx, val) with the weights of ``weights_of`` by term number, of a table of counts, and how many terms there are."""
+    stage = Stage(counts.sparkSession, "vectors")
+    n = counts.select("doc").distinct().count()
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = stage.put(global_rank(df, ["term"], stage, "i").select("term", "df", F.col("i").cast("int").alias("idx")))
+    raw = counts.join(terms, "term").select("doc", "idx", (F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
+    packed = vectors(raw).withColumn("norm", F.sqrt(F.aggregate("val", F.lit(0.0), lambda a, x: a + x * x)))
+    return stage.put(packed.select("id", "idx", F.transform("val", lambda x: x / F.col("norm")).alias("val"))), terms.count()
+
+
 def vectors(weights: DataFrame) -> DataFrame:
     """(id, idx, val) sparse vectors of weights(doc, idx, w); a document has at most the vocabulary's entries."""
     packed = weights.groupBy(F.col("doc").alias("id")).agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("e"))

@@ -290,18 +290,26 @@ wt as (select doc, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) w from tf join df
 weights as (select doc, term, w / sqrt(sum(w * w) over (partition by doc)) w from wt)"""
 
 
-def _plain_weights(df: DataFrame, key: str, col: str) -> DataFrame:
-    """Weights of the tokens of ``_simple_rows``."""
+def _plain_counts(df: DataFrame, key: str, col: str, stage: Stage | None = None) -> DataFrame:
+    """Counts of the tokens of ``_simple_rows``."""
     stops = text.stop_words()
-    return tfidf.weights_of(tfidf.raw_counts(df, key, col, text.lemma, lambda t: (F.length(t) >= 2) & ~t.isin(*stops)))
+    return tfidf.raw_counts(df, key, col, text.lemma, lambda t: (F.length(t) >= 2) & ~t.isin(*stops), stage)
+
+
+def _plain_weights(df: DataFrame, key: str, col: str) -> DataFrame:
+    return tfidf.weights_of(_plain_counts(df, key, col))
 
 
 def _doc_weights(spark, d) -> DataFrame:
     return _plain_weights(_table(spark, d, "documents").where("text is not null"), "doc_id", "text")
 
 
+def _user_texts(spark, d) -> DataFrame:
+    return _table(spark, d, "comments").where("user_id is not null and user_id <> '' and text is not null")
+
+
 def _user_weights(spark, d) -> DataFrame:
-    return _plain_weights(_table(spark, d, "comments").where("user_id is not null and user_id <> '' and text is not null"), "user_id", "text")
+    return _plain_weights(_user_texts(spark, d), "user_id", "text")
 
 
 @query(f"with {_DOC_TEXT}, {_tfidf_sql('src_t')} select doc, term, round(w, 6) w from weights")
@@ -332,20 +340,16 @@ def tfidf_grid_choice(spark, d):
     return spark.createDataFrame(out, "ngram_max int, min_df int, entries bigint, features bigint, chosen boolean")
 
 
-def _vectors(weights: DataFrame, stage: Stage) -> tuple[DataFrame, int]:
-    """Sparse vectors by term number, and how many terms there are."""
-    weights = stage.put(weights)
-    index = stage.put(ranking.global_rank(weights.select("term").distinct(), ["term"], stage, "i").select("term", F.col("i").cast("int").alias("idx")))
-    return tfidf.vectors(weights.join(index, "term")), index.count()
-
-
 @query(f"""with {_USER_TEXT}, {_tfidf_sql('src_t')},
 sim as (select a.doc u, b.doc v, sum(a.w * b.w) w from weights a join weights b using (term) where a.doc <> b.doc group by 1, 2),
 t as (select * from sim where round(w, 9) > 0 qualify row_number() over (partition by u order by round(w, 9) desc, v) <= {K})
 select least(u, v) src, greatest(u, v) dst, round(max(w), 6) w from t group by 1, 2""")
 def content_knn_edges(spark, d):
-    stage = _stage(spark)
-    v, n = _vectors(_user_weights(spark, d), stage)
+    stage, first = _stage(spark), _stage(spark)
+    counts = stage.put(_plain_counts(_user_texts(spark, d), "user_id", "text", first))
+    first.clear()
+    v, n = tfidf.vectors_of(counts)
+    stage.drop(counts)
     return layers.content_edges(v, K, n).select("src", "dst", _r("w"))
 
 

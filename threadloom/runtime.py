@@ -46,6 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Whether the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """Tables that an operator writes between its jobs.
 
@@ -66,12 +70,17 @@ class Stage:
         """``df`` as a table. Named aggregates are taken while it is written and left in ``self.seen``."""
         path = f"{self.base}/{self._n}"
         self._n += 1
-        if observed:
-            watch = Observation()
-            df.observe(watch, *[c.alias(k) for k, c in observed.items()]).write.parquet(path)
-            self.seen = watch.get
-        else:
-            df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            if observed:
+                watch = Observation()
+                df.observe(watch, *[c.alias(k) for k, c in observed.items()]).write.parquet(path)
+                self.seen = watch.get
+            else:
+                df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
@@ -81,6 +90,10 @@ class Stage:
         if path:
             self._delete(path)
 
+    def clear(self) -> None:
+        """Removes all tables of this stage."""
+        self._delete(self.base)
+
     def _delete(self, path: str) -> None:
         try:
             jvm, jsc = self.spark._jvm, self.spark._jsc
