@@ -148,8 +148,9 @@ def vectors_of(counts: DataFrame) -> tuple[DataFrame, int]:
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = stage.put(global_rank(df, ["term"], stage, "i").select("term", "df", F.col("i").cast("int").alias("idx")))
     raw = counts.join(terms, "term").select("doc", "idx", (F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
-    packed = vectors(raw).withColumn("norm", F.sqrt(F.aggregate("val", F.lit(0.0), lambda a, x: a + x * x)))
-    return stage.put(packed.select("id", "idx", F.transform("val", lambda x: x / F.col("norm")).alias("val"))), terms.count()
+    # the norm as an aggregate: of the array, it would be computed again for each element
+    packed = raw.groupBy(F.col("doc").alias("id")).agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("e"), F.sum(F.col("w") * F.col("w")).alias("n"))
+    return stage.put(packed.select("id", F.transform("e", lambda x: x["idx"]).alias("idx"), F.transform("e", lambda x: x["w"] / F.sqrt("n")).alias("val"))), terms.count()
 
 
 def vectors(weights: DataFrame) -> DataFrame:
